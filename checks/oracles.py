@@ -541,7 +541,7 @@ def oracles() -> dict[str, str]:
         + """SELECT nid AS "nID", weekday_mask, row_number() OVER (PARTITION BY nid ORDER BY s) - 1 AS pos,
                s AS start_day, e AS end_day FROM periods JOIN spans ON mask = weekday_mask""",
         "spot_periods": _with(LINKS)
-        + """SELECT place_id, min(nid) AS first_period, start_time, end_time, start_hour, end_hour,
+        + """SELECT place_id, min(nid::BIGINT) AS first_period, start_time, end_time, start_hour, end_hour,
                weekday_mask, description, count(*) AS n_links
              FROM links GROUP BY ALL""",
         "spots_curated": _with(LINKS, PLACES)

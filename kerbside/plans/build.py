@@ -136,14 +136,17 @@ def build_spot_periods(
     of a hot place or a hot code are folded on the map side and never multiply.
     ``via_regulations`` keeps only codes that the regulations table names.
     """
-    content = ["start_time", "end_time", "start_hour", "end_hour", "weekday_mask", "description"]
+    content = ["start_time", "end_time", "weekday_mask", "description"]
     code_periods = (
         raw.period_links.join(
-            type_periods(raw.periods, keep_seconds), F.col("noPeriode") == F.col("nID")
+            type_periods(raw.periods), F.col("noPeriode") == F.col("nID")
         )
         .withColumnRenamed("sDescription", "description")
         .groupBy("sCode", *content)
-        .agg(F.min("noPeriode").alias("first_period"), F.count(F.lit(1)).alias("n_periods"))
+        .agg(
+            F.min(F.col("noPeriode").try_cast("bigint")).alias("first_period"),
+            F.count(F.lit(1)).alias("n_periods"),
+        )
     )
     place_codes = raw.place_links.groupBy("sNoEmplacement", "sCodeAutocollant").agg(
         F.count(F.lit(1)).alias("n_places")
@@ -164,6 +167,8 @@ def build_spot_periods(
             F.min("first_period").alias("first_period"),
             F.sum(F.col("n_places") * F.col("n_periods")).alias("n_links"),
         )
+        .withColumn("start_hour", P.clock_hours(F.col("start_time"), keep_seconds))
+        .withColumn("end_hour", P.clock_hours(F.col("end_time"), keep_seconds))
         .select(*schemas.SPOT_PERIODS.names)
     )
 

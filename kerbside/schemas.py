@@ -91,7 +91,7 @@ SPOTS = T.StructType(
 SPOT_PERIODS = T.StructType(
     [
         T.StructField("place_id", T.StringType()),
-        T.StructField("first_period", T.StringType()),
+        T.StructField("first_period", T.LongType()),
         T.StructField("start_time", T.StringType()),
         T.StructField("end_time", T.StringType()),
         T.StructField("start_hour", T.DoubleType()),

@@ -201,21 +201,27 @@ def raw_tables(spark: SparkSession, folder: str) -> RawTables:
     )
 
 
-def query_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """One query per event: a one-hour window from its moment, and a box from its keys."""
-    key, user, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
+def _box(key: Column, user: Column) -> list[Column]:
     west = (user * 7919 + key * 13) % LON_SPAN - LON_UNITS
     south = LAT_UNITS + (key * 4801) % LAT_SPAN
     size = F.element_at(F.array(*[F.lit(s) for s in BOX_SIZES]), (key % 3 + 1).cast("int"))
+    return [
+        (west / 100000.0).alias("min_lon"),
+        (south / 100000.0).alias("min_lat"),
+        ((west + size) / 100000.0).alias("max_lon"),
+        ((south + size) / 100000.0).alias("max_lat"),
+    ]
+
+
+def query_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """One query per event: a one-hour window from its moment, and a box from its keys."""
+    key, user, ts = F.col("event_id"), F.col("user_id"), F.col("ts")
     hour = moments.hour_of_day(ts)
     later = F.when(hour >= 23.0, hour - 23.0).otherwise(hour + 1.0)
     day, month = moments.day_of_week(ts), moments.month_of_year(ts)
     return table(spark, folder, "events").select(
         key.alias("query_id"),
-        (west / 100000.0).alias("min_lon"),
-        (south / 100000.0).alias("min_lat"),
-        ((west + size) / 100000.0).alias("max_lon"),
-        ((south + size) / 100000.0).alias("max_lat"),
+        *_box(key, user),
         F.when(key % 14 != 0, hour).alias("hour_start"),
         F.when(key % 7 != 0, later).alias("hour_end"),
         F.when(key % 8 != 0, day).alias("day_start"),
@@ -266,6 +272,6 @@ def filter_strings(spark: SparkSession, folder: str) -> DataFrame:
         piece(key % 12 == 5, "signs=0"),
     )
     marked = F.when(key % 2 == 0, F.concat(F.lit("?"), text)).otherwise(text)
-    boxes = query_rows(spark, folder).select("query_id", "min_lon", "min_lat", "max_lon", "max_lat")
-    strings = table(spark, folder, "events").select(key.alias("query_id"), marked.alias("query_string"))
-    return strings.join(boxes, "query_id")
+    return table(spark, folder, "events").select(
+        key.alias("query_id"), marked.alias("query_string"), *_box(key, F.col("user_id"))
+    )
