@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from kerbside.storage import written
 
 
+def _positions(df: DataFrame, keys: list[str]) -> DataFrame:
+    return (
+        df.repartitionByRange(*keys)
+        .sortWithinPartitions(*keys)
+        .withColumn("_position", F.monotonically_increasing_id())
+    )
+
+
 def number_rows(
     df: DataFrame, order: list[str], id_column: str, copy_column: str | None = None
 ) -> DataFrame:
@@ -21,11 +29,7 @@ def number_rows(
     one row still split over partitions. It is used for placing only and then dropped.
     """
     keys = [*order, copy_column] if copy_column else list(order)
-    placed = (
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_position", F.monotonically_increasing_id())
-    )
+    placed = _positions(df, keys)
     if copy_column:
         placed = placed.drop(copy_column)
     table = written(placed, "numbered")
