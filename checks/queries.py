@@ -44,49 +44,44 @@ def _parsed(spark, folder, ignore_case: bool = False) -> DataFrame:
 # Text to ranges
 
 
+def _hour_rows(codes: DataFrame) -> DataFrame:
+    return B.explode_ranges(codes, "hour_ranges").select(
+        "code_rpa", "pos", F.col("start").alias("start_hour"), F.col("end").alias("end_hour")
+    )
+
+
 @query
 def codes_hour_ranges(spark, folder):
-    return _parsed(spark, folder).select("code_rpa", F.posexplode("hour_ranges")).select(
-        "code_rpa",
-        F.col("pos").cast("bigint").alias("pos"),
-        F.col("col.start").alias("start_hour"),
-        F.col("col.end").alias("end_hour"),
-    )
+    return _hour_rows(_parsed(spark, folder))
 
 
 @query
 def hour_ranges_ignore_case(spark, folder):
-    return _parsed(spark, folder, ignore_case=True).select(
-        "code_rpa", F.posexplode("hour_ranges")
-    ).select(
-        "code_rpa",
-        F.col("pos").cast("bigint").alias("pos"),
-        F.col("col.start").alias("start_hour"),
-        F.col("col.end").alias("end_hour"),
-    )
+    return _hour_rows(_parsed(spark, folder, ignore_case=True))
 
 
 @query
 def hour_ranges_exploded(spark, folder):
-    return _parsed(spark, folder).select(
-        "code_rpa", "description", F.explode_outer("hour_ranges").alias("range")
-    ).select(
+    rows = B.explode_ranges(_parsed(spark, folder), "hour_ranges", keep_empty=True)
+    return rows.select(
         "code_rpa",
         "description",
-        F.col("range.start").alias("start_hour"),
-        F.col("range.end").alias("end_hour"),
+        F.col("start").alias("start_hour"),
+        F.col("end").alias("end_hour"),
     )
 
 
 def _day_month(spark, folder, field: str) -> DataFrame:
-    pairs = B.distinct_codes(inputs.raw_signs(spark, folder)).dropna()
-    found = pairs.select("code_rpa", text.day_month_ranges(F.col("description")).alias("found"))
-    return found.select("code_rpa", F.posexplode(f"found.{field}")).select(
+    pairs = B.distinct_codes(inputs.raw_signs(spark, folder))
+    found = pairs.select(
+        "code_rpa", text.day_month_ranges(F.col("description"))[field].alias("ranges")
+    )
+    return B.explode_ranges(found, "ranges").select(
         "code_rpa",
-        F.col("pos").cast("bigint").alias("pos"),
-        F.col("col.start").alias("range_start"),
-        F.col("col.end").alias("range_end"),
-        F.col("col.members").alias("members"),
+        "pos",
+        F.col("start").alias("range_start"),
+        F.col("end").alias("range_end"),
+        "members",
     )
 
 

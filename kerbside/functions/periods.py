@@ -48,12 +48,8 @@ def mask_day_ranges(mask: Column) -> Column:
     )
 
 
-def mask_covers(mask: Column, day_start: Column, day_end: Column) -> Column:
-    """Whether one weekday span of the mask contains the queried days.
-
-    Whole weekdays 1 to 7 in ascending order lie inside one span exactly when all their
-    bits are set; every other query goes through the spans themselves.
-    """
+def needed_days(day_start: Column, day_end: Column) -> Column:
+    """Mask of the queried days, for whole weekdays 1 to 7 in ascending order; otherwise null."""
     first, last = day_start.cast("bigint"), day_end.cast("bigint")
     ordinary = (
         (first == day_start) & (last == day_end)
@@ -63,19 +59,32 @@ def mask_covers(mask: Column, day_start: Column, day_end: Column) -> Column:
     def power(bit: Column) -> Column:
         return F.call_function("shiftleft", F.lit(1).cast("bigint"), bit.cast("int"))
 
-    need = power(last) - power(first - 1)
-    return F.when(ordinary, mask.bitwiseAND(need) == need).otherwise(
+    return F.when(ordinary, power(last) - power(first - 1))
+
+
+def mask_covers(
+    mask: Column, day_start: Column, day_end: Column, needed: Column | None = None
+) -> Column:
+    """Whether one weekday span of the mask contains the queried days.
+
+    Ordinary days lie inside one span exactly when all their bits are set; every other query
+    goes through the spans themselves. ``needed`` is ``needed_days`` of the query, for a
+    caller that has it as a column already.
+    """
+    if needed is None:
+        needed = needed_days(day_start, day_end)
+    return F.when(needed.isNotNull(), mask.bitwiseAND(needed) == needed).otherwise(
         any_within(day_start, day_end, mask_day_ranges(mask), DAYS)
     )
 
 
 def period_covers(
     period: Column, hour: tuple[Column, Column], day: tuple[Column, Column],
-    strict: bool = False,
+    strict: bool = False, needed: Column | None = None,
 ) -> Column:
     """Whether a period is being metered over the whole query window."""
-    hit = within(*hour, period["start_hour"], period["end_hour"], HOURS, strict) & mask_covers(
-        period["weekday_mask"], *day
+    hit = mask_covers(period["weekday_mask"], *day, needed) & within(
+        *hour, period["start_hour"], period["end_hour"], HOURS, strict
     )
     return F.coalesce(hit, F.lit(False))
 
@@ -85,6 +94,7 @@ def is_free(
     hour: tuple[Column, Column] | None,
     day: tuple[Column, Column] | None,
     strict: bool = False,
+    needed: Column | None = None,
 ) -> Column:
     """Free when no period covers the window; always true unless hours and days are given."""
     if hour is None or day is None:
@@ -93,7 +103,7 @@ def is_free(
         hour[0].isNotNull() & hour[1].isNotNull() & day[0].isNotNull() & day[1].isNotNull()
     )
     paid = F.coalesce(
-        F.exists(periods, lambda p: period_covers(p, hour, day, strict)), F.lit(False)
+        F.exists(periods, lambda p: period_covers(p, hour, day, strict, needed)), F.lit(False)
     )
     return ~(given & paid)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,6 +79,21 @@ def distinct_codes(raw_signs: DataFrame) -> DataFrame:
     )
 
 
+def explode_ranges(codes: DataFrame, column: str, keep_empty: bool = False) -> DataFrame:
+    """One row per range of a range column, with its position; ``keep_empty`` also keeps
+    codes without ranges, with nulls.
+
+    Empty lists are dropped after the outer explode. A plain explode would have the planner
+    test the list's size first, and push that test, with all the parsing it needs, below
+    the distinct step and onto every sign.
+    """
+    others = [name for name in codes.columns if name != column]
+    rows = codes.select(*others, F.posexplode_outer(column).alias("pos", "_range"))
+    if not keep_empty:
+        rows = rows.where(F.col("pos").isNotNull())
+    return rows.select(*others, F.col("pos").cast("bigint").alias("pos"), "_range.*")
+
+
 def build_codes(raw_signs: DataFrame, ignore_case: bool = False) -> DataFrame:
     """The code dictionary: each distinct text is parsed once, however many signs carry it."""
     numbered = number_rows(distinct_codes(raw_signs), ["code_rpa", "description"], "code_id")
@@ -240,12 +256,22 @@ def build(
     periods_per_row: int = PERIODS_PER_ROW,
     ignore_case: bool = False,
 ) -> curated.Curated:
-    """Write the curated tables to a folder, each from the written form of the one before."""
-    curated.write_table(build_codes(raw.signs, ignore_case), folder, "codes")
-    codes = curated.read_table(spark, folder, "codes")
-    curated.write_table(build_signs(raw.signs, codes, grid), folder, "signs")
-    curated.write_table(build_spot_periods(raw), folder, "spot_periods")
-    spot_periods = curated.read_table(spark, folder, "spot_periods")
-    spots = build_spots(raw.places, spot_periods, periods_per_row=periods_per_row, grid=grid)
-    curated.write_table(spots, folder, "spots")
+    """Write the curated tables to a folder, each from the written form of the one before.
+
+    Signs and spots share no input, so the two chains are submitted side by side.
+    """
+    def sign_tables():
+        curated.write_table(build_codes(raw.signs, ignore_case), folder, "codes")
+        codes = curated.read_table(spark, folder, "codes")
+        curated.write_table(build_signs(raw.signs, codes, grid), folder, "signs")
+
+    def spot_tables():
+        curated.write_table(build_spot_periods(raw), folder, "spot_periods")
+        spot_periods = curated.read_table(spark, folder, "spot_periods")
+        spots = build_spots(raw.places, spot_periods, periods_per_row=periods_per_row, grid=grid)
+        curated.write_table(spots, folder, "spots")
+
+    with ThreadPoolExecutor(max_workers=2) as pool:
+        for chain in [pool.submit(sign_tables), pool.submit(spot_tables)]:
+            chain.result()
     return curated.load(spark, folder)

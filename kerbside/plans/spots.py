@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import periods as P
@@ -25,7 +25,13 @@ _ANSWER = [
 ]
 
 
-def _answer(spots: DataFrame, window: TimeWindow, strict: bool, keys: list[str]) -> DataFrame:
+def _answer(
+    spots: DataFrame,
+    window: TimeWindow,
+    strict: bool,
+    keys: list[str],
+    needed: Column | None = None,
+) -> DataFrame:
     """Spots with their status and their distinct period descriptions.
 
     Almost every spot is one curated row and is answered by a projection. A spot whose list
@@ -34,7 +40,7 @@ def _answer(spots: DataFrame, window: TimeWindow, strict: bool, keys: list[str])
     reaches the scan, which skips every row group without such spots.
     """
     answered = spots.withColumn(
-        "is_currently_free", P.is_free(F.col("periods"), window.hour, window.day, strict)
+        "is_currently_free", P.is_free(F.col("periods"), window.hour, window.day, strict, needed)
     ).withColumn("periods", P.descriptions(F.col("periods")))
     whole = answered.where(F.col("n_parts") == 1).select(*keys, *_ANSWER)
 
@@ -67,6 +73,9 @@ def query_spots_batch(
     queries: DataFrame, spots: DataFrame, grid: Grid = Grid(), strict: bool = False
 ) -> DataFrame:
     """Answers of many query rows by one job: one row per (query_id, spot)."""
+    window = TimeWindow(
+        hour=(F.col("hour_start"), F.col("hour_end")), day=(F.col("day_start"), F.col("day_end"))
+    )
     asked = queries.select(
         "query_id",
         "min_lon",
@@ -77,12 +86,10 @@ def query_spots_batch(
         "hour_end",
         "day_start",
         "day_end",
+        P.needed_days(*window.day).alias("_needed"),
     )
     pairs = points_in_boxes(asked, spots, grid)
-    window = TimeWindow(
-        hour=(F.col("hour_start"), F.col("hour_end")), day=(F.col("day_start"), F.col("day_end"))
-    )
-    return _answer(pairs, window, strict, ["query_id"])
+    return _answer(pairs, window, strict, ["query_id"], F.col("_needed"))
 
 
 def split_spots(answered: DataFrame) -> tuple[DataFrame, DataFrame]:

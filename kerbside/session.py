@@ -17,6 +17,7 @@ def local_session(cores: int | str = "*", app_name: str = "kerbside", **settings
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     )
     for key, value in settings.items():
         builder = builder.config(key.replace("__", "."), value)

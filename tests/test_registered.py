@@ -7,6 +7,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from checks.compare import compare, connect
 from checks.queries import SIGN_QUERIES
+from kerbside.operators import tiles
 from kerbside.plans.prepared import curated_tables
 
 FOLDER = "/root/testdata/sf0.001"
@@ -60,7 +61,8 @@ def test_tables_are_built_once_per_input_state(spark):
 
 
 @pytest.mark.parametrize("name", ["batch_sign_query", "batch_spot_query", "sign_query_time"])
-def test_same_answers_without_broadcasts(spark, con, name):
+def test_same_answers_without_broadcasts(spark, con, monkeypatch, name):
+    monkeypatch.setattr(tiles, "BROADCAST_ROWS", 0)
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside import schemas
+from kerbside.operators import tiles
 from kerbside.operators.clusters import cluster_points
 from kerbside.operators.lists import bounded_lists
 from kerbside.operators.numbering import _positions, number_rows
@@ -158,8 +159,9 @@ def _random_boxes(spark, n, seed=5):
     return spark.createDataFrame(rows, "query_id long, min_lon double, min_lat double, max_lon double, max_lat double"), rows
 
 
-@pytest.mark.parametrize("threshold", ["10MB", "-1"])
-def test_tile_join_equals_brute_force(spark, threshold):
+@pytest.mark.parametrize("broadcast_rows,threshold", [(500_000, "10MB"), (0, "10MB"), (0, "-1")])
+def test_tile_join_equals_brute_force(spark, monkeypatch, broadcast_rows, threshold):
+    monkeypatch.setattr(tiles, "BROADCAST_ROWS", broadcast_rows)
     rng = random.Random(9)
     points = [(i, rng.uniform(-74.2, -73.3), rng.uniform(45.3, 45.8)) for i in range(400)]
     points += [(1_000 + i, -73.56, 45.50) for i in range(300)]
