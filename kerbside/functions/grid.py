@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The city's bounding box (min_lon, min_lat, max_lon, max_lat).
@@ -22,7 +22,18 @@ class Grid:
 
     bounds: tuple[float, float, float, float] = CITY_BOUNDS
     min_level: int = 5
-    max_level: int = 12
+    max_level: int = 16
+
+    @staticmethod
+    def covering(points: DataFrame, **levels) -> "Grid":
+        """A grid over the extent of a table of points, found by one aggregate."""
+        extent = points.agg(
+            F.min("longitude"), F.min("latitude"), F.max("longitude"), F.max("latitude")
+        ).first()
+        if extent[0] is None:
+            return Grid(**levels)
+        west, south, east, north = extent
+        return Grid((west, south, max(east, west + 1e-6), max(north, south + 1e-6)), **levels)
 
     def _index(self, coordinate: Column, low: float, high: float) -> Column:
         tiles = 1 << self.max_level

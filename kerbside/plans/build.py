@@ -16,6 +16,7 @@ from kerbside.operators.lists import bounded_lists
 from kerbside.operators.numbering import number_rows
 from kerbside.sources import curated
 from kerbside.sources.delimited import read_csv
+from kerbside.storage import intermediate_tables
 
 # A spot with more distinct periods than this spans several curated rows.
 PERIODS_PER_ROW = 1_000
@@ -112,10 +113,9 @@ def build_signs(raw_signs: DataFrame, codes: DataFrame, grid: Grid = Grid()) ->
     adaptive execution splits the partitions of hot codes.
     """
     located = (
-        raw_signs.withColumn("_copy", F.monotonically_increasing_id())
-        .dropna(subset=["CODE_RPA", "Longitude", "Latitude"])
+        raw_signs.dropna(subset=["CODE_RPA", "Longitude", "Latitude"])
         .select(
-            "_copy",
+            F.monotonically_increasing_id().alias("_copy"),
             F.col("CODE_RPA").alias("code_rpa"),
             F.col("Longitude").cast("double").alias("longitude"),
             F.col("Latitude").cast("double").alias("latitude"),
@@ -255,21 +255,29 @@ def build(
     grid: Grid = Grid(),
     periods_per_row: int = PERIODS_PER_ROW,
     ignore_case: bool = False,
+    via_regulations: bool = False,
+    keep_seconds: bool = False,
 ) -> curated.Curated:
     """Write the curated tables to a folder, each from the written form of the one before.
 
     Signs and spots share no input, so the two chains are submitted side by side.
+    ``via_regulations`` keeps only links the regulations table names, and only places that
+    have periods; ``keep_seconds`` counts the seconds of period ends.
     """
     def sign_tables():
-        curated.write_table(build_codes(raw.signs, ignore_case), folder, "codes")
-        codes = curated.read_table(spark, folder, "codes")
-        curated.write_table(build_signs(raw.signs, codes, grid), folder, "signs")
+        with intermediate_tables(spark):
+            curated.write_table(build_codes(raw.signs, ignore_case), folder, "codes")
+            codes = curated.read_table(spark, folder, "codes")
+            curated.write_table(build_signs(raw.signs, codes, grid), folder, "signs")
 
     def spot_tables():
-        curated.write_table(build_spot_periods(raw), folder, "spot_periods")
-        spot_periods = curated.read_table(spark, folder, "spot_periods")
-        spots = build_spots(raw.places, spot_periods, periods_per_row=periods_per_row, grid=grid)
-        curated.write_table(spots, folder, "spots")
+        with intermediate_tables(spark):
+            periods = build_spot_periods(raw, via_regulations, keep_seconds)
+            curated.write_table(periods, folder, "spot_periods")
+            spot_periods = curated.read_table(spark, folder, "spot_periods")
+            how = "inner" if via_regulations else "left"
+            spots = build_spots(raw.places, spot_periods, how, periods_per_row, grid)
+            curated.write_table(spots, folder, "spots")
 
     with ThreadPoolExecutor(max_workers=2) as pool:
         for chain in [pool.submit(sign_tables), pool.submit(spot_tables)]:

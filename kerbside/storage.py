@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
+_open_paths: ContextVar[list[str] | None] = ContextVar("open_paths", default=None)
 _local_folder: tempfile.TemporaryDirectory | None = None
 
 
@@ -25,19 +29,48 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folder.name
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/kerbside/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    app = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/kerbside/{app}/{name}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table once and read it back: later passes neither recompute it nor depend
     on the executors that produced it, and the planner sees its real size."""
     path = new_path(df.sparkSession, name)
+    open_paths = _open_paths.get()
+    if open_paths is not None:
+        open_paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def intermediate_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are removed at the end, when their results are stored elsewhere."""
+    paths: list[str] = []
+    token = _open_paths.set(paths)
+    try:
+        yield
+    finally:
+        _open_paths.reset(token)
+        for path in paths:
+            _remove(spark, path)
+
+
+def remove_tables(spark: SparkSession) -> None:
+    """Remove every intermediate table of this application, for use at its end."""
+    _remove(spark, _application_folder(spark))
+
+
 def fingerprint(spark: SparkSession, *paths: str) -> tuple:
     """Changes whenever a file below the paths changes; only the file listing is read."""
     files = (

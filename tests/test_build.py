@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside import schemas
+from kerbside.__main__ import main
 from kerbside.plans import build as B
 from kerbside.plans import signs as S
 from kerbside.plans import spots as SP
@@ -17,7 +18,7 @@ B1,\\P 9h-17h LUN A VEN,-73.56,45.50,Côte-des-Neiges,2
 A1,"\\A ""EN"" TOUT, TEMPS",-73.561,45.501,,0
 ,\\P X,-73.561,45.501,Z,0
 B1,\\P 9h-17h LUN A VEN,,45.501,Z,0
-C1,,-73.562,45.502,Montréal,3
+C1,,-73.562,45.502,Québec,3
 D1,\\P un,-73.563,45.503,Z,0
 D1,\\A deux,-73.564,45.504,Z,0
 B1,\\P 9h-17h LUN A VEN,-73.56,45.50,Côte-des-Neiges,2
@@ -82,7 +83,7 @@ def test_signs_fan_out_over_the_descriptions_of_a_code(tables):
     assert sorted(r["sign_id"] for r in rows) == list(range(8))
     assert Counter(r["code_id"] for r in rows) == {0: 1, 1: 2, 2: 1, 3: 2, 4: 2}
     names = {r["code_id"]: r["arrondissement"] for r in rows}
-    assert names[1] == "Côte-des-Neiges" and names[2] == "Montréal" and names[0] is None
+    assert names[1] == "Côte-des-Neiges" and names[2] == "Québec" and names[0] is None
 
 
 def test_spots(tables):
@@ -123,6 +124,23 @@ def test_via_regulations(raw):
     }
 
 
+def test_build_via_regulations(spark, raw, tmp_path):
+    built = B.build(spark, raw, str(tmp_path), via_regulations=True, keep_seconds=True)
+    rows = built.spots.collect()
+    assert [r["place_id"] for r in rows] == ["S1"]
+    assert rows[0]["periods"][0]["end_hour"] == 23 + 59 / 60.0 + 59 / 3600.0
+
+
+def test_command(spark, raw, tmp_path, tmp_path_factory, capsys):
+    folder = tmp_path_factory.mktemp("raw-command")
+    for name, content in FILES.items():
+        (folder / name).write_bytes(content.encode("cp1252"))
+    main([str(folder), str(tmp_path)])
+    printed = capsys.readouterr().out
+    assert "permitted" in printed and "spots_with_periods" in printed
+    assert curated.load(spark, str(tmp_path)).codes.count() == 5
+
+
 def test_labels(tables):
     found = {r["place_id"]: r["label"] for r in SP.spot_labels(tables.spot_periods).collect()}
     assert found["S1"] == "mon,tue,wed,thu,fri: 09:00:00-18:00:00 | sat,sun: 22:00:00-23:59:59"

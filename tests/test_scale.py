@@ -1,5 +1,6 @@
 """Hot keys, long lists and plans that do not rest on broadcasts."""
 
+import os
 import random
 from contextlib import contextmanager
 
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside import schemas
+from kerbside.functions.grid import Grid
 from kerbside.operators import tiles
 from kerbside.operators.clusters import cluster_points
 from kerbside.operators.lists import bounded_lists
@@ -16,6 +18,7 @@ from kerbside.plans import build as B
 from kerbside.plans import spots as SP
 from kerbside.plans.requests import SpotQuery
 from kerbside.sources import geojson
+from kerbside.storage import intermediate_tables, written
 from tests import fixtures
 from tests.model import contained, spans
 from tests.test_queries import query_rows
@@ -52,6 +55,16 @@ def test_copies_of_one_row_split_over_partitions(spark):
     assert len(sizes) == 8 and max(sizes) < 2 * 20_000 / 8
 
 
+def test_intermediate_tables_go_when_their_results_are_stored(spark):
+    with intermediate_tables(spark):
+        table = written(spark.range(3), "short-lived")
+        path = table.inputFiles()[0].removeprefix("file://")
+        assert table.count() == 3 and os.path.exists(path)
+    assert not os.path.exists(path)
+    kept = written(spark.range(3), "kept")
+    assert kept.count() == 3
+
+
 def test_lists_of_a_hot_key_are_split_and_whole(spark):
     rows = spark.range(9_000).select(
         F.when(F.col("id") < 6_000, "hot").otherwise(F.col("id").cast("string")).alias("k"),
@@ -159,9 +172,13 @@ def _random_boxes(spark, n, seed=5):
     return spark.createDataFrame(rows, "query_id long, min_lon double, min_lat double, max_lon double, max_lat double"), rows
 
 
-@pytest.mark.parametrize("broadcast_rows,threshold", [(500_000, "10MB"), (0, "10MB"), (0, "-1")])
-def test_tile_join_equals_brute_force(spark, monkeypatch, broadcast_rows, threshold):
-    monkeypatch.setattr(tiles, "BROADCAST_ROWS", broadcast_rows)
+@pytest.mark.parametrize(
+    "rows_limit,bytes_limit,threshold",
+    [(500_000, 1 << 28, "10MB"), (0, 1 << 28, "10MB"), (500_000, 0, "-1")],
+)
+def test_tile_join_equals_brute_force(spark, monkeypatch, rows_limit, bytes_limit, threshold):
+    monkeypatch.setattr(tiles, "BROADCAST_ROWS", rows_limit)
+    monkeypatch.setattr(tiles, "BROADCAST_BYTES", bytes_limit)
     rng = random.Random(9)
     points = [(i, rng.uniform(-74.2, -73.3), rng.uniform(45.3, 45.8)) for i in range(400)]
     points += [(1_000 + i, -73.56, 45.50) for i in range(300)]
@@ -185,6 +202,28 @@ def test_boundaries_belong_to_the_box(spark):
     assert {tuple(r) for r in found.collect()} == {(0, 2), (1, 1)}
 
 
+def test_grid_fitted_to_the_points(spark):
+    points = spark.createDataFrame([(10.0, 50.0), (20.0, 60.0), (15.0, 55.0)], "longitude double, latitude double")
+    grid = Grid.covering(points)
+    assert grid.bounds == (10.0, 50.0, 20.0, 60.0)
+    boxes = spark.createDataFrame(
+        [(0, 14.0, 54.0, 16.0, 56.0)],
+        "query_id long, min_lon double, min_lat double, max_lon double, max_lat double",
+    )
+    assert points_in_boxes(boxes, points, grid).count() == 1
+    assert Grid.covering(points.where("longitude > 99")) == Grid()
+
+
+def test_cells_follow_the_bits(spark):
+    grid = Grid((0.0, 0.0, 65536.0, 65536.0))
+    rng = random.Random(1)
+    pairs = [(rng.randrange(65536), rng.randrange(65536)) for _ in range(50)]
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in pairs], "x double, y double")
+    cells = [r[0] for r in df.select(grid.cell(F.col("x"), F.col("y"))).collect()]
+    for (x, y), cell in zip(pairs, cells):
+        assert cell == sum((x >> i & 1) << 2 * i | (y >> i & 1) << 2 * i + 1 for i in range(16))
+
+
 def test_centroids_do_not_depend_on_partitioning(spark):
     points = spark.range(3_000).select(
         (F.lit(-73.9) + F.col("id") / 9_000.7).alias("longitude"),
