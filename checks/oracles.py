@@ -338,10 +338,7 @@ def _paid(hour: tuple[str, str], day: tuple[str, str], place: str) -> str:
 
 
 _SPOT_COLUMNS = "place_id, longitude, latitude, tariff_hourly, spot_type, street"
-_PERIOD_TEXT = """texts AS (
-  SELECT place_id, string_agg(description, '|' ORDER BY description) AS periods,
-         list(description ORDER BY description) AS list
-  FROM (SELECT DISTINCT place_id, description FROM links) GROUP BY place_id)"""
+_PERIOD_TEXT = "texts AS (SELECT DISTINCT place_id, description FROM links)"
 _ALL_SPOTS = _with(LINKS, SPANS, PLACES, _PERIOD_TEXT)
 
 
@@ -351,9 +348,11 @@ def _answered_spots(name: str) -> str:
     free = "true"
     if "hour" in ends and "day" in ends:
         free = f"NOT {_paid(ends['hour'], ends['day'], 'p.place_id')}"
-    return f"""(SELECT p.*, {free} AS is_currently_free, coalesce(x.periods, '') AS periods,
-        coalesce(x.list, []) AS list
-      FROM places p LEFT JOIN texts x USING (place_id) WHERE {_in_box(asked.bbox, 'p.')})"""
+    return f"(SELECT p.*, {free} AS is_currently_free FROM places p WHERE {_in_box(asked.bbox, 'p.')})"
+
+
+def _described_spots(name: str) -> str:
+    return f"{_answered_spots(name)} LEFT JOIN texts USING (place_id)"
 
 
 # Saved filters
@@ -492,11 +491,6 @@ def _properties(*names: str) -> str:
 _SIGN_FEATURE = _feature(
     _properties("sign_id", "category", "is_reserved", "arrondissement", "description")
 )
-_SPOT_FEATURE = _feature(
-    _properties("place_id", "is_currently_free", "tariff_hourly", "spot_type", "street")
-    + " || ',\"periods\":' || to_json(list)::VARCHAR"
-)
-
 
 def _escape(column: str) -> str:
     return f"replace(replace(replace({column}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -583,7 +577,7 @@ def oracles() -> dict[str, str]:
         + "SELECT query_id, sign_id "
         + _batch_pairs(_all_pass(_COLUMN_ENDS, "q.code_rpa", "q.not_in_range")),
         "batch_spot_query": _with(LINKS, SPANS, PLACES, _PERIOD_TEXT, QUERY_ROWS)
-        + f"""SELECT query_id, {_SPOT_COLUMNS}, coalesce(periods, '') AS periods,
+        + f"""SELECT query_id, {_SPOT_COLUMNS}, description,
                 hour_start IS NULL OR hour_end IS NULL OR day_start IS NULL OR day_end IS NULL
                 OR NOT {_paid(_COLUMN_ENDS['hour'], _COLUMN_ENDS['day'], 'q.place_id')} AS is_currently_free
               FROM (SELECT q.*, s.* FROM queries q JOIN places s ON {_BOX_MATCH}) q
@@ -604,14 +598,10 @@ def oracles() -> dict[str, str]:
         "geojson_features": _ALL_SIGNS
         + f"SELECT sign_id, {_SIGN_FEATURE} AS feature " + _sign_rows("sign_query_time"),
         "geojson_spot_features": _ALL_SPOTS
-        + f"SELECT place_id, {_SPOT_FEATURE} AS feature FROM {_answered_spots('spot_query_free')}",
+        + f"SELECT {_SPOT_COLUMNS}, is_currently_free, description FROM {_described_spots('spot_query_free')}",
         "geojson_read": _ALL_SIGNS + f"SELECT {_SIGN_COLUMNS} " + _sign_rows("sign_query_reserved"),
         "feature_collections": _with(PARSED, SIGNS, QUERY_ROWS)
-        + f"""SELECT query_id, 0::BIGINT AS part_no, 1::BIGINT AS n_parts,
-                '{{"type":"FeatureCollection","features":[' || string_agg(feature, ',' ORDER BY feature)
-                || ']}}' AS collection
-              FROM (SELECT query_id, {_SIGN_FEATURE} AS feature {_batch_pairs(_BATCH_ANY)})
-              GROUP BY query_id""",
+        + f"SELECT {_SIGN_COLUMNS} {_batch_pairs(_BATCH_ANY)}",
         "sign_display": _ALL_SIGNS
         + f"""SELECT sign_id, CASE category WHEN 'permitted' THEN '#2563eb' WHEN 'prohibited'
                 THEN '#dc2626' ELSE '#9ca3af' END AS color,
@@ -623,10 +613,8 @@ def oracles() -> dict[str, str]:
         + f"""SELECT place_id, CASE WHEN is_currently_free THEN '#16a34a' ELSE '#f59e0b' END AS color,
                 '<b>' || CASE WHEN is_currently_free THEN 'Free now' ELSE 'Paid now' END || '</b>'
                 || coalesce('<br>' || {_escape('street')}, '')
-                || CASE WHEN len(list) > 0 THEN '<hr>'
-                     || array_to_string(list_transform(list, lambda x: {_escape('x')}), '<br>')
-                   ELSE '' END AS popup
-              FROM {_answered_spots('spot_query_free')}""",
+                || '<hr>' || coalesce({_escape('description')} || '<br>', '') || '&lt;&gt;' AS popup
+              FROM {_described_spots('spot_query_free')}""",
         "result_cap": _with(PARSED, SIGNS, LINKS, SPANS, PLACES, _PERIOD_TEXT)
         + f"""SELECT n_signs, n_paid, n_free, n_signs + n_paid + n_free AS total,
                 n_signs + n_paid + n_free > 1000 AS refused
@@ -639,6 +627,6 @@ def oracles() -> dict[str, str]:
         result[name] = _ALL_SIGNS + f"SELECT {_SIGN_COLUMNS} " + _sign_rows(name)
     for name in SPOT_QUERIES:
         result[name] = _ALL_SPOTS + (
-            f"SELECT {_SPOT_COLUMNS}, is_currently_free, periods FROM {_answered_spots(name)}"
+            f"SELECT {_SPOT_COLUMNS}, is_currently_free, description FROM {_described_spots(name)}"
         )
     return result

@@ -306,8 +306,8 @@ SPOT_QUERIES: dict[str, SpotQuery] = {
 
 
 def _spot_rows(answered: DataFrame) -> DataFrame:
-    """Descriptions as sorted text."""
-    return answered.withColumn("periods", F.array_join(F.array_sort("periods"), "|")).drop("part_no")
+    """One row per spot and description, in however many parts the spot was answered."""
+    return answered.withColumn("description", F.explode_outer("periods")).drop("periods", "part_no")
 
 
 def _spot_query(name: str) -> Query:
@@ -326,7 +326,8 @@ def spot_query_paid(spark, folder):
     answered = SP.query_spots(
         curated_tables(spark, folder).spots, SPOT_QUERIES["spot_query_free"]
     )
-    return SP.split_spots(answered)[1].select("place_id", "longitude", "latitude")
+    paid = SP.split_spots(answered)[1]
+    return paid.where("part_no = 0").select("place_id", "longitude", "latitude")
 
 
 @query
@@ -396,9 +397,8 @@ def filter_sign_query(spark, folder):
 def filter_spot_query(spark, folder):
     decoded = saved_filters.decode_filters(inputs.filter_strings(spark, folder))
     asked = saved_filters.to_spot_queries(decoded)
-    return SP.query_spots_batch(asked, curated_tables(spark, folder).spots).select(
-        "query_id", "place_id", "is_currently_free"
-    )
+    answered = SP.query_spots_batch(asked, curated_tables(spark, folder).spots)
+    return answered.where("part_no = 0").select("query_id", "place_id", "is_currently_free")
 
 
 # Output
@@ -423,10 +423,14 @@ def geojson_features(spark, folder):
 
 @query
 def geojson_spot_features(spark, folder):
+    """Spot features written one per line and read back, one row per description."""
     answered = SP.query_spots(
         curated_tables(spark, folder).spots, SPOT_QUERIES["spot_query_free"]
-    ).withColumn("periods", F.array_sort("periods"))
-    return answered.select("place_id", geojson.spot_feature().alias("feature"))
+    )
+    path = new_path(spark, "features")
+    geojson.write_features(answered, geojson.spot_feature(), path)
+    back = geojson.read_features(spark, path, geojson.SPOT_PROPERTIES)
+    return back.withColumn("description", F.explode_outer("periods")).drop("periods")
 
 
 @query
@@ -441,9 +445,13 @@ def geojson_read(spark, folder):
 
 @query
 def feature_collections(spark, folder):
+    """Collections per batch query, written one per line and read back as rows."""
     tables = curated_tables(spark, folder)
     answers = S.query_signs_batch(inputs.query_rows(spark, folder), tables.signs, tables.codes)
-    return geojson.collections(answers, geojson.sign_feature(), "query_id")
+    documents = geojson.collections(answers, geojson.sign_feature(), "query_id")
+    path = new_path(spark, "collections")
+    documents.select("collection").write.text(path)
+    return geojson.read_collections(spark, path, geojson.SIGN_PROPERTIES, multi_line=False)
 
 
 @query
@@ -469,11 +477,12 @@ def spot_display(spark, folder):
     answered = SP.query_spots(
         curated_tables(spark, folder).spots, SPOT_QUERIES["spot_query_free"]
     )
-    free = F.col("is_currently_free")
-    return answered.select(
+    free, street = F.col("is_currently_free"), F.col("street")
+    line = F.explode_outer(F.when(F.size("periods") > 0, F.col("periods"))).alias("line")
+    return answered.select("place_id", free, street, line).select(
         "place_id",
         display.spot_color(free).alias("color"),
-        display.spot_popup(free, F.col("street"), F.array_sort("periods")).alias("popup"),
+        display.spot_popup(free, street, F.array("line", F.lit("<>"))).alias("popup"),
     )
 
 
