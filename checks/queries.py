@@ -411,7 +411,8 @@ def cluster_grid(spark, folder):
 
 @query
 def cluster_spots(spark, folder):
-    return clusters.cluster_points(curated_tables(spark, folder).spots, (12, 17))
+    spots = curated_tables(spark, folder).spots.where("part_no = 0")
+    return clusters.cluster_points(spots, (12, 17))
 
 
 @query

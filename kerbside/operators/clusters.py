@@ -20,7 +20,8 @@ def cluster_points(points: DataFrame, zooms: Sequence[int]) -> DataFrame:
     """Clusters of ``longitude``/``latitude`` points per zoom level.
 
     Columns zoom, cell_x, cell_y, n_points, longitude, latitude (the centroid). From zoom 17
-    on, every point passes through with null cells. Centroids are summed in fixed point, so
+    on, every point passes through with null cells. Of curated spots, pass the rows with
+    part_no 0. Centroids are summed in fixed point, so
     they do not depend on the order in which partial sums meet.
     """
     points = points.select("longitude", "latitude")

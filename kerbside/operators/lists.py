@@ -21,20 +21,25 @@ def bounded_lists(
     A key with more than ``limit`` items is spread over ``n_parts`` rows of about that many
     items each, so no task ever gathers a whole hot key. Items must be distinct within a
     key, and ``rows`` should be a written table because it is read twice. Items that agree
-    on ``spread_by`` stay together; by default every item is placed on its own.
+    on ``spread_by`` stay together; by default every item is placed on its own. Parts are
+    counted from 0, and every key has its part 0.
 
     The keys over the limit are written first: there are few of them, and from the real
     size of that table the planner decides by itself whether to broadcast it.
     """
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("n_parts"))
+    rows = rows.withColumn("_item", item)
+    place = F.xxhash64(F.col("_item") if spread_by is None else spread_by)
+    sizes = rows.groupBy(*keys).agg(
+        F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("n_parts"), F.min(place).alias("_anchor")
+    )
     long_keys = written(sizes.where(F.col("n_parts") > 1), "long-keys")
-    place = F.col("_item") if spread_by is None else spread_by
-    n_parts = F.coalesce(F.col("n_parts"), F.lit(1).cast("bigint"))
-    parted = (
-        rows.join(long_keys, keys, "left")
-        .withColumn("n_parts", n_parts)
-        .withColumn("_item", item)
-        .withColumn("part_no", F.pmod(F.xxhash64(place), F.col("n_parts")))
+    n_parts, anchor = F.col("n_parts"), F.col("_anchor")
+    part_no = F.pmod(F.pmod(place, n_parts) - F.pmod(anchor, n_parts), n_parts)
+    parted = rows.join(long_keys, keys, "left").withColumns(
+        {
+            "part_no": F.coalesce(part_no, F.lit(0).cast("bigint")),
+            "n_parts": F.coalesce(n_parts, F.lit(1).cast("bigint")),
+        }
     )
     return (
         parted.repartition(*keys, "part_no")

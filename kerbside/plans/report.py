@@ -29,14 +29,11 @@ def quality_report(tables: Curated) -> DataFrame:
             for name in ("other", "permitted", "prohibited")
         },
     )
-    # A spot that spans several rows is counted once.
-    split_id = F.when(F.col("n_parts") > 1, F.col("place_id"))
-    split_spots = F.count_distinct(split_id)
+    first = F.col("part_no") == 0
     spots = measures(
         tables.spots,
-        spots=F.count_if(F.col("n_parts") == 1) + split_spots,
-        spots_with_periods=F.count_if((F.col("n_parts") == 1) & F.col("periods").isNotNull())
-        + split_spots,
+        spots=F.count_if(first),
+        spots_with_periods=F.count_if(first & F.col("periods").isNotNull()),
     )
     incomplete = F.col("start_hour").isNull() | F.col("end_hour").isNull() | F.col(
         "weekday_mask"

@@ -36,7 +36,7 @@ def _answer(
 
     Almost every spot is one curated row and is answered by a projection. A spot whose list
     spans several curated rows keeps them: all carry the status of the whole spot, each its
-    own share of the descriptions, and the first one has part_no 0. The filter on n_parts
+    own share of the descriptions, and part_no 0 stands for the spot. The filter on n_parts
     reaches the scan, which skips every row group without such spots.
     """
     answered = spots.withColumn(
@@ -46,17 +46,9 @@ def _answer(
 
     parts = answered.where(F.col("n_parts") > 1)
     status = parts.groupBy(*keys, "place_id").agg(
-        F.bool_and("is_currently_free").alias("is_currently_free"),
-        F.min("part_no").alias("_first"),
-    )
-    part_no = F.when(F.col("part_no") == F.col("_first"), 0).otherwise(
-        F.greatest(F.col("part_no"), F.lit(1))
-    )
-    combined = (
-        parts.drop("is_currently_free")
-        .join(status, [*keys, "place_id"])
-        .withColumn("part_no", part_no.cast("bigint"))
+        F.bool_and("is_currently_free").alias("is_currently_free")
     )
+    combined = parts.drop("is_currently_free").join(status, [*keys, "place_id"])
     return whole.unionByName(combined.select(*keys, *_ANSWER))
 
 

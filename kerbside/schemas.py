@@ -72,7 +72,7 @@ PERIOD = T.StructType(
 )
 
 # One row per spot, except that a spot with a very long period list spans several
-# rows: part_no counts them from 0 and n_parts says how many there are.
+# rows: part_no tells them apart, 0 being always there, and n_parts is their number at most.
 SPOTS = T.StructType(
     [
         T.StructField("place_id", T.StringType()),
