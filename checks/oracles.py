@@ -339,6 +339,13 @@ def _paid(hour: tuple[str, str], day: tuple[str, str], place: str) -> str:
 
 _SPOT_COLUMNS = "place_id, longitude, latitude, tariff_hourly, spot_type, street"
 _PERIOD_TEXT = "texts AS (SELECT DISTINCT place_id, description FROM links)"
+_LABELS = """labels AS (
+  SELECT place_id, coalesce(string_agg(label, ' | ' ORDER BY label), '') AS label
+  FROM (SELECT DISTINCT place_id, CASE WHEN weekday_mask > 0 THEN
+          array_to_string(list_filter(['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'],
+            lambda x, i: (weekday_mask >> (i - 1)::INT) & 1 = 1), ',')
+          || ': ' || start_time || '-' || end_time END AS label FROM links)
+  GROUP BY place_id)"""
 _ALL_SPOTS = _with(LINKS, SPANS, PLACES, _PERIOD_TEXT)
 
 
@@ -564,13 +571,7 @@ def oracles() -> dict[str, str]:
         "spot_query_paid": _ALL_SPOTS
         + f"""SELECT place_id, longitude, latitude FROM {_answered_spots('spot_query_free')}
               WHERE NOT is_currently_free""",
-        "spot_labels": _with(LINKS)
-        + """SELECT place_id, string_agg(label, ' | ' ORDER BY label) AS label
-             FROM (SELECT DISTINCT place_id, CASE WHEN weekday_mask > 0 THEN
-                     array_to_string(list_filter(['mon', 'tue', 'wed', 'thu', 'fri', 'sat', 'sun'],
-                       lambda x, i: (weekday_mask >> (i - 1)::INT) & 1 = 1), ',')
-                     || ': ' || start_time || '-' || end_time END AS label FROM links)
-             GROUP BY place_id""",
+        "spot_labels": _with(LINKS, _LABELS) + "SELECT place_id, label FROM labels",
         "batch_sign_query": _with(PARSED, SIGNS, QUERY_ROWS)
         + "SELECT query_id, sign_id, category, is_reserved, description " + _batch_pairs(_BATCH_ANY),
         "batch_sign_query_all_mode": _with(PARSED, SIGNS, QUERY_ROWS)
@@ -607,8 +608,16 @@ def oracles() -> dict[str, str]:
                 THEN '#dc2626' ELSE '#9ca3af' END AS color,
                 '<b class="capitalize">' || category || '</b><br>' || {_escape('description')} AS popup
               {_sign_rows('sign_query_all_dimensions')}""",
-        "sign_markers": _ALL_SIGNS
-        + "SELECT latitude, longitude, description AS label " + _sign_rows("sign_query_all_mode"),
+        "marker_layers": _with(PARSED, SIGNS, LINKS, SPANS, PLACES, _LABELS)
+        + "SELECT 'sign' AS kind, latitude, longitude, description AS label "
+        + _sign_rows("sign_query_view")
+        + f""" UNION ALL
+             SELECT CASE WHEN is_currently_free THEN 'free' ELSE 'paid' END, latitude, longitude,
+               coalesce(label, '')
+             FROM {_answered_spots('spot_query_view')} LEFT JOIN labels USING (place_id)""",
+        "marker_layers_not": _ALL_SIGNS
+        + "SELECT 'sign' AS kind, latitude, longitude, description AS label "
+        + _sign_rows("sign_query_view_not"),
         "spot_display": _ALL_SPOTS
         + f"""SELECT place_id, CASE WHEN is_currently_free THEN '#16a34a' ELSE '#f59e0b' END AS color,
                 '<b>' || CASE WHEN is_currently_free THEN 'Free now' ELSE 'Paid now' END || '</b>'

@@ -15,7 +15,7 @@ from kerbside.functions.intervals import within
 from kerbside.operators import clusters, viewport
 from kerbside.operators.numbering import number_rows
 from kerbside.plans import build as B
-from kerbside.plans import display, report, saved_filters
+from kerbside.plans import display, markers, report, saved_filters
 from kerbside.plans import signs as S
 from kerbside.plans import spots as SP
 from kerbside.plans.prepared import curated_tables
@@ -32,6 +32,9 @@ SMALL_BOX = (-73.57, 45.49, -73.55, 45.51)
 WIDE_BOX = (-73.75, 45.45, -73.55, 45.60)
 
 
+MARKER_VIEW = SpotQuery(WIDE_BOX, hour=(10, 11), day=(2, 2), month=(7, 7))
+
+
 def query(function: Query) -> Query:
     REGISTRY[function.__name__] = function
     return function
@@ -273,6 +276,16 @@ SIGN_QUERIES: dict[str, tuple[SignQuery, dict]] = {
         SignQuery(WIDE_BOX, hour=(10, 11), day=(2, 2), month=(7, 7), categories=None),
         {"mode": "all", "regex": S.PERMITTED},
     ),
+    "sign_query_view": (
+        SignQuery(WIDE_BOX, hour=(10, 11), day=(2, 2), month=(7, 7), categories=None),
+        {"mode": "all", "regex": S.PERMITTED_UNRESERVED},
+    ),
+    "sign_query_view_not": (
+        SignQuery(
+            WIDE_BOX, hour=(10, 11), day=(2, 2), month=(7, 7), categories=None, not_in_range=True
+        ),
+        {"mode": "all", "regex": S.PERMITTED},
+    ),
     "sign_query_all_mode_not": (
         SignQuery(WIDE_BOX, hour=(10, 11), day=(2, 2), categories=ALL_CATEGORIES, not_in_range=True),
         {"mode": "all"},
@@ -298,6 +311,7 @@ for _name in SIGN_QUERIES:
     REGISTRY[_name] = _sign_query(_name)
 
 SPOT_QUERIES: dict[str, SpotQuery] = {
+    "spot_query_view": MARKER_VIEW,
     "spot_query_free": SpotQuery(WIDE_BOX, hour=(10, 11), day=(2, 2), month=(1, 1)),
     "spot_query_overnight": SpotQuery(WIDE_BOX, hour=(23, 1), day=(6, 7)),
     "spot_query_day_wrap": SpotQuery(WIDE_BOX, hour=(10, 10.5), day=(7, 1)),
@@ -467,10 +481,16 @@ def sign_display(spark, folder):
 
 
 @query
-def sign_markers(spark, folder):
-    tables = curated_tables(spark, folder)
-    asked, options = SIGN_QUERIES["sign_query_all_mode"]
-    return S.marker_rows(S.query_signs(tables.signs, tables.codes, asked, **options))
+def marker_layers(spark, folder):
+    return markers.marker_layers(curated_tables(spark, folder), MARKER_VIEW)
+
+
+@query
+def marker_layers_not(spark, folder):
+    return markers.marker_layers(
+        curated_tables(spark, folder), MARKER_VIEW, reserved=True, not_in_range=True,
+        include_spots=False,
+    )
 
 
 @query

@@ -60,11 +60,6 @@ def query_signs(
     )
 
 
-def marker_rows(signs: DataFrame) -> DataFrame:
-    """Points for drawing: latitude first, then longitude and the label."""
-    return signs.select("latitude", "longitude", F.col("description").alias("label"))
-
-
 def query_signs_batch(
     queries: DataFrame,
     signs: DataFrame,

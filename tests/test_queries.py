@@ -8,6 +8,7 @@ from kerbside.operators.viewport import ResultTooLarge, check_size
 from kerbside.plans import display, report
 from kerbside.plans import signs as S
 from kerbside.plans import spots as SP
+from kerbside.plans.markers import check_markers, marker_layers
 from kerbside.plans.requests import SignQuery, SpotQuery
 from kerbside.sources import geojson
 from tests import fixtures
@@ -123,6 +124,29 @@ def test_size_guard(tables):
     assert refused.value.total == 5
 
 
+def test_request_parameters():
+    corners = dict(min_lon=1.0, min_lat=2.0, max_lon=3.0, max_lat=4.0)
+    asked = SignQuery.from_parameters(**corners, hour_start=8, hour_end=9, reserved=True)
+    assert asked.bbox == (1.0, 2.0, 3.0, 4.0) and asked.hour == (8, 9)
+    assert asked.day == (None, None) and asked.window().day is None
+    assert asked.reserved and asked.categories == ("permitted",)
+
+
+def test_marker_layers(tables):
+    view = SpotQuery(BOX, hour=(10, 11), day=(2, 2), month=(7, 7))
+    rows = marker_layers(tables, view).collect()
+    assert sorted((r["kind"], r["label"]) for r in rows) == [
+        ("free", ""),
+        ("free", ""),
+        ("paid", "mon,tue,wed,thu,fri: 09:00:00-18:00:00"),
+        ("sign", r"\P 9h-17h LUN A VEN"),
+    ]
+    assert marker_layers(tables, view, include_signs=False).count() == 3
+    assert marker_layers(tables, view, include_signs=False, include_spots=False).count() == 0
+    with pytest.raises(ResultTooLarge):
+        check_markers(marker_layers(tables, view), limit=3)
+
+
 def test_sign_feature_keeps_nulls(tables):
     found = S.query_signs(tables.signs, tables.codes, SignQuery(BOX, categories=("prohibited",)))
     feature = json.loads(found.select(geojson.sign_feature()).first()[0])
