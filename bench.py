@@ -42,6 +42,26 @@ def run(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
+def stage_totals(spark, name: str, df) -> dict[str, int]:
+    """Bytes shuffled and rows scanned by one run of a query."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    run(df)
+    context.setLocalProperty("spark.jobGroup.id", None)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {i for job in tracker.getJobIdsForGroup(name) for i in tracker.getJobInfo(job).stageIds}
+    totals = {"shuffle_bytes": 0, "rows_scanned": 0}
+    for stage in stages:
+        data = store.lastStageAttempt(stage)
+        totals["shuffle_bytes"] += data.shuffleWriteBytes()
+        totals["rows_scanned"] += data.inputRecords()
+    return totals
+
+
+def warm_median(spark, name: str, runs: int = 7) -> float:
+    return sorted(timed(lambda: REGISTRY[name](spark, FOLDER).collect()) for _ in range(runs))[runs // 2]
+
+
 def timed(action) -> float:
     started = time.perf_counter()
     action()
@@ -57,6 +77,9 @@ def main() -> None:
         seconds[name] = timed(lambda: run(REGISTRY[name](spark, FOLDER)))
 
     tables = curated_tables(spark, FOLDER)
+    singles = {name: warm_median(spark, name) for name in ("sign_query_bbox_only", "spot_query_free")}
+    viewport = stage_totals(spark, "viewport", REGISTRY["sign_query_bbox_only"](spark, FOLDER))
+    links = stage_totals(spark, "links", REGISTRY["spot_periods"](spark, FOLDER))
     signs, queries = tables.signs.count(), spark.read.parquet(f"{FOLDER}/events.parquet").count()
     print(
         json.dumps(
@@ -69,6 +92,9 @@ def main() -> None:
                 "signs": signs,
                 "signs_built_per_sec": round(signs / seconds["build_curated"]),
                 "batch_queries_per_sec": round(queries / seconds["batch_sign_query"]),
+                "single_query_warm_sec": singles,
+                "viewport_rows_scanned": viewport["rows_scanned"],
+                "period_join_shuffle_bytes": links["shuffle_bytes"],
             }
         )
     )

@@ -131,6 +131,20 @@ def test_build_via_regulations(spark, raw, tmp_path):
     assert rows[0]["periods"][0]["end_hour"] == 23 + 59 / 60.0 + 59 / 3600.0
 
 
+def test_split_spots_survive_the_build(spark, raw, tables, tmp_path):
+    split = B.build(spark, raw, str(tmp_path), periods_per_row=1)
+    assert split.spots.where("n_parts > 1").count() >= 1
+    box = (-74.0, 45.0, -73.0, 46.0)
+    for hour, day in (((10, 11), (1, 5)), ((22.5, 23), (6, 6)), ((3, 4), (1, 1))):
+        answers = []
+        for built in (split, tables):
+            rows = SP.query_spots(built.spots, SpotQuery(box, hour=hour, day=day)).select(
+                "place_id", "is_currently_free", F.explode_outer("periods").alias("text")
+            )
+            answers.append(sorted(map(repr, rows.collect())))
+        assert answers[0] == answers[1]
+
+
 def test_command(spark, raw, tmp_path, tmp_path_factory, capsys):
     folder = tmp_path_factory.mktemp("raw-command")
     for name, content in FILES.items():

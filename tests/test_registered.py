@@ -56,6 +56,11 @@ def test_viewport_filters_reach_the_scan(spark):
     assert "fleche" not in plan
 
 
+def test_spot_queries_are_one_scan_when_no_spot_is_split(spark):
+    plan = _plan(queries()["spot_query_free"](spark, FOLDER), "simple")
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Union" not in plan
+
+
 def test_tables_are_built_once_per_input_state(spark):
     assert curated_tables(spark, FOLDER) is curated_tables(spark, FOLDER)
 
