@@ -22,7 +22,8 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get(_SETTING, None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
     if _local_folder is None:
         _local_folder = tempfile.TemporaryDirectory(prefix="kerbside-")
@@ -48,7 +49,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the session's file system (a classic driver is needed)."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -63,12 +65,12 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
     finally:
         _open_paths.reset(token)
         for path in paths:
-            _remove(spark, path)
+            remove_path(spark, path)
 
 
 def remove_tables(spark: SparkSession) -> None:
     """Remove every intermediate table of this application, for use at its end."""
-    _remove(spark, _application_folder(spark))
+    remove_path(spark, _application_folder(spark))
 
 
 def fingerprint(spark: SparkSession, *paths: str) -> tuple:

@@ -4,13 +4,20 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from checks.compare import compare, connect
-from checks.queries import SIGN_QUERIES
+from checks.oracles import oracles as oracle_sql
+from checks.queries import REGISTRY, SIGN_QUERIES
 from kerbside.operators import tiles
 from kerbside.plans.prepared import curated_tables
 
 FOLDER = "/root/testdata/sf0.001"
+
+
+def queries():
+    return REGISTRY
+
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
