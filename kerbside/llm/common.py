@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -13,7 +14,17 @@ from pyspark.sql import functions as F
 from kerbside.storage import new_path, remove_path
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Python workers find this library where the driver does. That is enough where they share the
+    driver's disk; on a cluster the library is installed or shipped with ``--py-files``."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    let_workers_import(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

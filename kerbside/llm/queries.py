@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbside.llm import byte_bpe, mixing, secrets, toxicity
+from kerbside.llm import byte_bpe, mixing, near_dups, secrets, toxicity
 from kerbside.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +25,11 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip_digests(docs, RANKS, public_tokenizers.PATTERN)
 
 
+def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dups.near_duplicates(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -34,6 +39,7 @@ REGISTRY = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
     "op4_byte_bpe": op4_byte_bpe,
+    "op6_minhash": op6_minhash,
     "op10_toxicity": op10_toxicity,
 }
 
