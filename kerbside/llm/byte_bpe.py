@@ -86,10 +86,15 @@ ENCODED = T.ArrayType(T.IntegerType())
 
 
 def encode(
-    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids"
+    docs: DataFrame,
+    ranks_path: str,
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    keep_text: bool = True,
 ) -> DataFrame:
     """Append the ids of each text as an array column named ``ids`` (replaced if present)."""
-    rest = [name for name in docs.columns if name != ids]
+    rest = [name for name in docs.columns if name != ids and (keep_text or name != text)]
     schema = T.StructType([*(docs.schema[n] for n in rest), T.StructField(ids, ENCODED)])
 
     def run(batches):

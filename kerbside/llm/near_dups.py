@@ -33,6 +33,7 @@ from kerbside.llm.common import Steps, text_column
 from kerbside.llm.components import connected_components
 from kerbside.llm.text_hashes import mixed, shingles, word_hashes
 
+WORD = r"[^\x20\x09-\x0D]"
 HASHES, BITS, BANDS = 128, 4, 40
 SMALL_BAND = 8
 BLOCK_CLASSES = 128
@@ -105,6 +106,11 @@ def _digest(own: np.ndarray) -> bytes | None:
     return hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None
 
 
+def text_key() -> Column:
+    """Tells rows apart that repeat a doc_id with another text."""
+    return F.xxhash64("text")
+
+
 _SIGNED = T.StructType(
     [
         T.StructField("n_shingles", T.LongType()),
@@ -116,8 +122,9 @@ _SIGNED = T.StructType(
 
 
 def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, node (names the set; null if empty), signature, bands."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *_SIGNED.fields])
+    """doc_id, text_key, n_shingles, node (names the set; null if empty), signature, bands."""
+    kinds = [docs.schema["doc_id"], T.StructField("text_key", T.LongType(), False)]
+    schema = T.StructType([*kinds, *_SIGNED.fields])
 
     def run(batches):
         for batch in batches:
@@ -132,6 +139,7 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(first, len(own)),
+                        batch.column("text_key").slice(first, len(own)),
                         pa.array([len(s) for s in own], pa.int64()),
                         pa.array([_digest(s) for s in own], pa.binary()),
                         pa.array(signed, pa.list_(pa.int64())),
@@ -140,7 +148,7 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
                     names=schema.names,
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", text_key().alias("text_key"), "text").mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -286,10 +294,10 @@ def _rest_of_large_bands(
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, node, component of every row of ``docs``.
+    """doc_id, n_shingles, component_id, kept, text_key, component of every row of ``docs``.
 
-    ``node`` names the row's set of shingles, ``component`` the smallest node reachable by links
-    of a similarity of at least ``percent`` per cent (both null without shingles)."""
+    ``component`` names the rows reachable by links of a similarity of at least ``percent`` per
+    cent; it is null without shingles."""
     spark = docs.sparkSession
     steps = Steps(spark)
     similarity = percent / 100
@@ -370,9 +378,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     least = every.groupBy("component").agg(F.min("first_id").alias("component_id"))
     final = steps.keep(every.join(least, "component").select("node", "component", "component_id"), "nd_final")
     steps.clean()
-    filled = signed.filter(F.col("node").isNotNull()).select("doc_id", "n_shingles", "node").join(final, "node")
+    filled = signed.filter(F.col("node").isNotNull()).select("doc_id", "text_key", "n_shingles", "node").join(final, "node")
     empty = signed.filter(F.col("node").isNull()).select(
         "doc_id",
+        "text_key",
         "n_shingles",
         "node",
         F.col("node").alias("component"),
@@ -383,6 +392,34 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         "n_shingles",
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
-        "node",
+        "text_key",
         "component",
     )
+
+
+def one_of_each_group(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: the smallest doc_id (null last), then the smallest
+    text key. Rows without words all stay. Columns are those of ``docs``."""
+    found = near_duplicates(docs, width, percent).filter(F.col("component").isNotNull())
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    chosen = found.groupBy("component").agg(F.min(order).alias("one")).select(
+        F.col("one.doc_id").alias("i"), F.col("one.text_key").alias("k")
+    )
+    rows = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+        F.col("doc_id").alias("i"),
+        text_key().alias("k"),
+        F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("has_words"),
+    )
+    one = (
+        rows.filter("has_words")
+        .alias("r")
+        .join(
+            chosen.alias("c"),
+            F.col("r.i").eqNullSafe(F.col("c.i")) & (F.col("r.k") == F.col("c.k")),
+            "left_semi",
+        )
+        .dropDuplicates(["i", "k"])
+    )
+    kept = one.unionByName(rows.filter("not has_words"))
+    return kept.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

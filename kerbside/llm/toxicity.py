@@ -320,3 +320,19 @@ def predict(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Data
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def clean_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without the rows predicted toxic; columns are those of ``docs``."""
+    columns = docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = shared.value
+        lexicon = Lexicon(own.entries)
+        for batch in batches:
+            for first, texts in text_slices(batch):
+                keep = [own.score(t, lexicon) < threshold for t in texts]
+                yield batch.slice(first, len(texts)).filter(pa.array(keep, pa.bool_()))
+
+    return docs.select(*(f"`{c}`" for c in columns)).mapInArrow(run, docs.schema)
