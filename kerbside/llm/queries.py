@@ -4,8 +4,18 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from kerbside.llm import byte_bpe, mixing, near_dups, secrets, toxicity
+from pyspark.sql import functions as F
+
+from kerbside.llm import (
+    ann_forest,
+    byte_bpe,
+    context_trees,
+    epsilon_join,
+    mixing,
+    near_dups,
+    secrets,
+    toxicity,
+)
 from kerbside.llm.common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -30,6 +40,18 @@ def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_context_trees(spark: SparkSession, folder: str) -> DataFrame:
+    return context_trees.score_documents(table(spark, folder, "documents"))
+
+
+def op8_epsilon_join(spark: SparkSession, folder: str) -> DataFrame:
+    return epsilon_join.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op9_ann_forest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann_forest.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return toxicity.predict(docs, toxicity.fit(docs, table(spark, folder, "labels")))
@@ -40,6 +62,9 @@ REGISTRY = {
     "op2_mixing": op2_mixing,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_minhash": op6_minhash,
+    "op7_context_trees": op7_context_trees,
+    "op8_epsilon_join": op8_epsilon_join,
+    "op9_ann_forest": op9_ann_forest,
     "op10_toxicity": op10_toxicity,
 }
 
