@@ -13,6 +13,7 @@ from kerbside.llm import (
     epsilon_join,
     mixing,
     near_dups,
+    page_text,
     secrets,
     toxicity,
 )
@@ -30,6 +31,10 @@ def op2_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
 
+def op3_page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return page_text.extract(table(spark, folder, "pages"))
+
+
 def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return byte_bpe.round_trip_digests(docs, RANKS, public_tokenizers.PATTERN)
@@ -60,6 +65,7 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 REGISTRY = {
     "op1_secrets": op1_secrets,
     "op2_mixing": op2_mixing,
+    "op3_page_text": op3_page_text,
     "op4_byte_bpe": op4_byte_bpe,
     "op6_minhash": op6_minhash,
     "op7_context_trees": op7_context_trees,
