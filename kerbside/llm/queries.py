@@ -15,6 +15,7 @@ from kerbside.llm import (
     near_dups,
     page_text,
     secrets,
+    suffix_dedup,
     toxicity,
 )
 from kerbside.llm.common import table
@@ -40,6 +41,10 @@ def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.round_trip_digests(docs, RANKS, public_tokenizers.PATTERN)
 
 
+def op5_suffix_sort(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 def op6_minhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dups.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -67,6 +72,7 @@ REGISTRY = {
     "op2_mixing": op2_mixing,
     "op3_page_text": op3_page_text,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_suffix_sort": op5_suffix_sort,
     "op6_minhash": op6_minhash,
     "op7_context_trees": op7_context_trees,
     "op8_epsilon_join": op8_epsilon_join,
