@@ -426,9 +426,11 @@ def repeated_ranges(docs: DataFrame, steps: Steps, large_group: int = LARGE_GROU
     """id, key, begin, end: byte ranges that repeated windows cover (may overlap)."""
     keyed = _with_keys(docs)
     every = steps.keep(_all_spans(keyed), "sd_spans")
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    shared = steps.keep(
+        every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "sd_shared"
+    )  # written, so that Spark may split the join of an anchor with very many spans
     some = steps.keep(every.join(shared, "anchor", "left_semi"), "sd_some")
-    steps.drop("sd_spans")
+    steps.drop("sd_spans", "sd_shared")
     classes = steps.keep(
         some.groupBy("anchor", "span").agg(
             F.min(F.struct("id", "place")).alias("one"), F.count(F.lit(1)).alias("n")
