@@ -221,41 +221,63 @@ class Model:
         return out
 
 
+def _rest(tree: Tree, counts: list[np.ndarray], depth: int) -> np.ndarray:
+    """Counts of the places that lead to no child of their own."""
+    rest = counts[depth].copy()
+    node, _ = tree.edges(depth)
+    if len(node):
+        heads = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        rest[node[heads]] -= np.add.reduceat(counts[depth + 1], heads, axis=0)
+    return np.maximum(rest, 0)
+
+
+def _some(n: int) -> list[slice]:
+    """Nodes in runs, so that working arrays stay small beside the counts."""
+    return [slice(i, min(i + 1_024, n)) for i in range(0, n, 1_024)]
+
+
 def weighted(tree: Tree, counts: list[np.ndarray]) -> Model:
     """The mixture over all depths. counts[d]: nodes of depth d x next byte."""
-    bits = [_decisions(c) for c in counts]
-    rest = []  # counts of positions that lead to no child of their own
-    for depth in range(DEPTH):
-        under = np.zeros_like(counts[depth])
-        np.add.at(under, tree.edges(depth)[0], counts[depth + 1])
-        rest.append(_decisions(np.maximum(counts[depth] - under, 0)))
-    total = [None] * (DEPTH + 1)
-    stays = [None] * (DEPTH + 1)  # chance that the node's own estimate is the model
-    total[DEPTH] = _block_estimate(*bits[DEPTH])
+    stays: list = [None] * (DEPTH + 1)  # chance that the node's own estimate is the model
+    total = np.zeros((len(counts[DEPTH]), 256))
+    for run in _some(len(total)):
+        total[run] = _block_estimate(*_decisions(counts[DEPTH][run]))
     for depth in range(DEPTH - 1, -1, -1):
-        own = _block_estimate(*bits[depth])
-        below = _block_estimate(*rest[depth])
-        np.add.at(below, tree.edges(depth)[0], total[depth + 1])
-        total[depth] = np.logaddexp(own, below) + np.log(0.5)
-        stays[depth] = np.exp(own + np.log(0.5) - total[depth])
-    log10, mixed, left = [], [np.zeros((1, 256))], [np.ones((1, 256))]
+        rest = _rest(tree, counts, depth)
+        below = np.zeros((len(rest), 256))
+        for run in _some(len(rest)):
+            below[run] = _block_estimate(*_decisions(rest[run]))
+        np.add.at(below, tree.edges(depth)[0], total)
+        stays[depth] = np.zeros((len(rest), 256), np.float32)
+        total = below
+        for run in _some(len(rest)):
+            own = _block_estimate(*_decisions(counts[depth][run])) + np.log(0.5)
+            total[run] = np.logaddexp(own, below[run] + np.log(0.5))
+            stays[depth][run] = np.exp(own - total[run])
+    del total, below
+    log10, mixed, left = [], np.zeros((1, 256), np.float32), np.ones((1, 256), np.float32)
     for depth in range(DEPTH + 1):
-        own = _estimate(*bits[depth])
-        if depth == DEPTH:
-            one = mixed[depth] + left[depth] * own
-        else:
-            here = mixed[depth] + left[depth] * stays[depth] * own
-            beyond = left[depth] * (1 - stays[depth])
-            one = here + beyond * _estimate(*rest[depth])
+        n = len(counts[depth])
+        table = np.zeros((n, 256), np.float32)
+        rest = _rest(tree, counts, depth) if depth < DEPTH else None
+        for run in _some(n):
+            own = _estimate(*_decisions(counts[depth][run]))
+            one = mixed[run] + left[run] * own
+            if depth < DEPTH:
+                mixed[run] += left[run] * stays[depth][run] * own
+                left[run] *= 1 - stays[depth][run]
+                one = mixed[run] + left[run] * _estimate(*_decisions(rest[run]))
+            one = np.clip(one, 1e-12, 1 - 1e-12)
+            chance = np.zeros((len(one), 512))
+            for node in range(1, 256):
+                chance[:, 2 * node] = chance[:, node] + np.log10(1 - one[:, node])
+                chance[:, 2 * node + 1] = chance[:, node] + np.log10(one[:, node])
+            table[run] = chance[:, 256:]
+        log10.append(table)
+        if depth < DEPTH:
             node = tree.edges(depth)[0]
-            mixed.append(here[node])
-            left.append(beyond[node])
-        one = np.clip(one, 1e-15, 1 - 1e-15)
-        chance = np.zeros((len(one), 512))
-        for node in range(1, 256):
-            chance[:, 2 * node] = chance[:, node] + np.log10(1 - one[:, node])
-            chance[:, 2 * node + 1] = chance[:, node] + np.log10(one[:, node])
-        log10.append(chance[:, 256:].astype(np.float32))
+            mixed, left = mixed[node], left[node]
+            counts[depth] = counts[depth][:0]  # not needed below
     return Model(tree, log10)
 
 
@@ -278,11 +300,13 @@ def train(docs: DataFrame) -> Model:
     for depth in range(3, DEPTH + 1):
         n = tree.sizes[depth]
         shared = spark.sparkContext.broadcast(tree)
-        after, older = _dense(_around(docs, shared, depth), 2 * n * 256).reshape(2, n, 256)
-        counts.append(after)
+        both = _dense(_around(docs, shared, depth), 2 * n * 256).reshape(2, n, 256)
+        counts.append(both[0].copy())
         if depth < DEPTH:
             tree = Tree([*tree.children], [*tree.sizes])
-            tree.grow(older, least)
+            tree.grow(both[1], least)
+        del both
+        shared.unpersist()
     return weighted(tree, counts)
 
 
