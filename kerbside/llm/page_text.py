@@ -8,7 +8,8 @@
 3. Subtrees that recur in at least ``LEAST_PAGES`` surroundings, and in ``LEAST_SHARE`` of the
    host's different pages, are deleted. Elements whose tag or attributes say that they are no
    article text (navigation, footers, adverts, forms, comments and so on) are deleted as well:
-   they may be different on every page.
+   they may be different on every page. Recurrence deletes nothing of a page whose markup names an
+   ``article`` or ``main`` element, as only what lies outside could go, and that is left out anyway.
 4. What is left of the article (or body) is cut into blocks at block elements. Character
    references are decoded, white space within a block becomes one space, empty blocks go, and
    blocks are joined by newlines in page order.
@@ -251,6 +252,9 @@ def main_text(html: str, templates: set[int]) -> str:
     return "\n".join(t for t in texts if t)
 
 
+_ARTICLE_MARK = r"(?i)<(article|main)[\s>/]"
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
@@ -344,6 +348,9 @@ def extract(pages: DataFrame) -> DataFrame:
             T.StructField("n_chars", T.LongType()),
         ]
     )
-    return (
-        named.join(per_page, "key", "left").select("page_id", "url", "html", "trees").mapInArrow(run, schema)
-    )
+    # deletions do not reach into an article, so only pages without one meet theirs
+    marked = F.coalesce(F.col("html").rlike(_ARTICLE_MARK), F.lit(True))
+    columns = ["page_id", "url", "html", "trees"]
+    with_article = named.filter(marked).withColumn("trees", F.lit(None).cast("array<long>")).select(columns)
+    without = named.filter(~marked).join(per_page, "key", "left").select(columns)
+    return with_article.unionByName(without).mapInArrow(run, schema)
