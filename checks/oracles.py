@@ -603,6 +603,15 @@ def oracles() -> dict[str, str]:
         "geojson_read": _ALL_SIGNS + f"SELECT {_SIGN_COLUMNS} " + _sign_rows("sign_query_reserved"),
         "feature_collections": _with(PARSED, SIGNS, QUERY_ROWS)
         + f"SELECT {_SIGN_COLUMNS} {_batch_pairs(_BATCH_ANY)}",
+        "feature_collections_split": _with(PARSED, SIGNS, QUERY_ROWS)
+        + f"SELECT {_SIGN_COLUMNS} {_batch_pairs(_BATCH_ANY)}",
+        "filter_rejected": _with(_FILTERS)
+        + """SELECT query_id, 'fractional day or month' AS reason FROM filters
+             WHERE coalesce(day_start <> floor(day_start), false) OR coalesce(day_end <> floor(day_end), false)
+                OR coalesce(month_start <> floor(month_start), false)
+                OR coalesce(month_end <> floor(month_end), false)
+             UNION ALL SELECT query_id, 'unknown category' FROM filters
+             WHERE NOT list_has_all(['permitted', 'prohibited', 'other'], categories)""",
         "sign_display": _ALL_SIGNS
         + f"""SELECT sign_id, CASE category WHEN 'permitted' THEN '#2563eb' WHEN 'prohibited'
                 THEN '#dc2626' ELSE '#9ca3af' END AS color,

@@ -415,6 +415,12 @@ def filter_spot_query(spark, folder):
     return answered.where("part_no = 0").select("query_id", "place_id", "is_currently_free")
 
 
+@query
+def filter_rejected(spark, folder):
+    decoded = saved_filters.decode_filters(inputs.filter_strings(spark, folder))
+    return saved_filters.rejected(decoded)
+
+
 # Output
 
 
@@ -463,7 +469,20 @@ def feature_collections(spark, folder):
     """Collections per batch query, written one per line and read back as rows."""
     tables = curated_tables(spark, folder)
     answers = S.query_signs_batch(inputs.query_rows(spark, folder), tables.signs, tables.codes)
-    documents = geojson.collections(answers, geojson.sign_feature(), "query_id")
+    return _collected(answers, per_collection=10_000)
+
+
+@query
+def feature_collections_split(spark, folder):
+    """The same with few features per document, so that most queries have several documents."""
+    tables = curated_tables(spark, folder)
+    answers = S.query_signs_batch(inputs.query_rows(spark, folder), tables.signs, tables.codes)
+    return _collected(answers, per_collection=10)
+
+
+def _collected(answers, per_collection):
+    spark = answers.sparkSession
+    documents = geojson.collections(answers, geojson.sign_feature(), "query_id", per_collection)
     path = new_path(spark, "collections")
     documents.select("collection").write.text(path)
     return geojson.read_collections(spark, path, geojson.SIGN_PROPERTIES, multi_line=False)

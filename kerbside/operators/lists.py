@@ -35,7 +35,9 @@ def bounded_lists(
     long_keys = written(sizes.where(F.col("n_parts") > 1), "long-keys")
     n_parts, anchor = F.col("n_parts"), F.col("_anchor")
     part_no = F.pmod(F.pmod(place, n_parts) - F.pmod(anchor, n_parts), n_parts)
-    parted = rows.join(long_keys, keys, "left").withColumns(
+    named = long_keys.withColumnsRenamed({key: f"_long_{key}" for key in keys})
+    same_key = [F.col(key).eqNullSafe(F.col(f"_long_{key}")) for key in keys]  # null is a key too
+    parted = rows.join(named, same_key, "left").withColumns(
         {
             "part_no": F.coalesce(part_no, F.lit(0).cast("bigint")),
             "n_parts": F.coalesce(n_parts, F.lit(1).cast("bigint")),

@@ -1,4 +1,4 @@
-"""Spatial and attribute filters, and the size guard on results."""
+"""Spatial and attribute filters, and the sizes of results."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BBox = tuple[float, float, float, float]  # min_lon, min_lat, max_lon, max_lat
-RESULT_LIMIT = 10_000
 
 
 def in_bbox(bbox: BBox) -> Column:
@@ -23,17 +22,8 @@ def in_categories(categories: Sequence[str]) -> Column:
     return F.col("category").isin(list(categories))
 
 
-class ResultTooLarge(ValueError):
-    def __init__(self, total: int, limit: int):
-        super().__init__(
-            f"{total} markers were found and at most {limit} can be drawn; narrow the search"
-        )
-        self.total = total
-        self.limit = limit
-
-
-def result_sizes(signs: DataFrame, spots: DataFrame, limit: int = RESULT_LIMIT) -> DataFrame:
-    """One row: n_signs, n_paid, n_free, total and whether the total is over the limit.
+def result_sizes(signs: DataFrame, spots: DataFrame, limit: int) -> DataFrame:
+    """One row: n_signs, n_paid, n_free, total and whether the total is over the given limit.
 
     ``spots`` is the answer of a spot query, in which part_no 0 stands for the spot.
     """
@@ -51,11 +41,3 @@ def result_sizes(signs: DataFrame, spots: DataFrame, limit: int = RESULT_LIMIT)
         count_of("free").alias("n_free"),
         F.count(F.lit(1)).alias("total"),
     ).withColumn("refused", F.col("total") > limit)
-
-
-def check_size(signs: DataFrame, spots: DataFrame, limit: int = RESULT_LIMIT) -> int:
-    """Total number of markers; raises ``ResultTooLarge`` before anything is fetched."""
-    sizes = result_sizes(signs, spots, limit).first()
-    if sizes["refused"]:
-        raise ResultTooLarge(sizes["total"], limit)
-    return sizes["total"]

@@ -164,7 +164,9 @@ def build_spot_periods(
             F.count(F.lit(1)).alias("n_periods"),
         )
     )
-    place_codes = raw.place_links.groupBy("sNoEmplacement", "sCodeAutocollant").agg(
+    # links that name no place or no code can never reach a place
+    links = raw.place_links.dropna(subset=["sNoEmplacement", "sCodeAutocollant"])
+    place_codes = links.groupBy("sNoEmplacement", "sCodeAutocollant").agg(
         F.count(F.lit(1)).alias("n_places")
     )
     if via_regulations:

@@ -1,20 +1,13 @@
-"""Colours, legend texts and popups of markers."""
+"""Colours and popups of markers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fill colours and legend texts.
+# Fill colours.
 PERMITTED, PROHIBITED, OTHER = "#2563eb", "#dc2626", "#9ca3af"
 FREE, PAID = "#16a34a", "#f59e0b"
-LEGEND = {
-    PERMITTED: "Permitted sign",
-    PROHIBITED: "Prohibited sign",
-    OTHER: "Other sign",
-    FREE: "Spot — free now",
-    PAID: "Spot — paid now",
-}
 
 
 def sign_color(category: Column) -> Column:

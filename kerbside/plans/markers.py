@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbside.operators.viewport import RESULT_LIMIT, ResultTooLarge
 from kerbside.plans.requests import SignQuery, SpotQuery
 from kerbside.plans.signs import PERMITTED, PERMITTED_UNRESERVED, query_signs
 from kerbside.plans.spots import query_spots, spot_labels
@@ -62,11 +61,3 @@ def marker_layers(
     for layer in layers[1:]:
         result = result.unionByName(layer)
     return result
-
-
-def check_markers(markers: DataFrame, limit: int = RESULT_LIMIT) -> DataFrame:
-    """The markers themselves, or ``ResultTooLarge`` with their number."""
-    total = markers.count()
-    if total > limit:
-        raise ResultTooLarge(total, limit)
-    return markers

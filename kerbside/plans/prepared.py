@@ -7,10 +7,11 @@ from pyspark.sql import SparkSession
 from kerbside.plans.build import build
 from kerbside.sources import star_schema
 from kerbside.sources.curated import Curated
-from kerbside.storage import fingerprint, new_path
+from kerbside.storage import fingerprint, new_path, on_removal
 
 _INPUTS = ("lineitem", "part", "orders", "customer")
 _built: dict[tuple, Curated] = {}
+on_removal.append(_built.clear)
 
 
 def curated_tables(spark: SparkSession, folder: str) -> Curated:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 _SETTING = "spark.checkpoint.dir"
 _open_paths: ContextVar[list[str] | None] = ContextVar("open_paths", default=None)
+on_removal: list[Callable[[], None]] = []  # what else knows of the tables
 _local_folder: tempfile.TemporaryDirectory | None = None
 
 
@@ -71,6 +72,8 @@ def intermediate_tables(spark: SparkSession) -> Iterator[None]:
 def remove_tables(spark: SparkSession) -> None:
     """Remove every intermediate table of this application, for use at its end."""
     remove_path(spark, _application_folder(spark))
+    for forget in on_removal:
+        forget()
 
 
 def fingerprint(spark: SparkSession, *paths: str) -> tuple:

@@ -177,7 +177,6 @@ def test_bad_coordinate_fails_the_job(spark):
     codes = spark.createDataFrame([], schemas.CODES)
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         B.build_signs(signs, codes).count()
-        signs.select(F.col("Longitude").cast("double")).collect()
 
 
 def test_typed_csv(spark, tmp_path):
@@ -198,7 +197,7 @@ def test_geojson_files(spark, tables, tmp_path):
     assert {tuple(r[c] for c in sorted(back.columns)) for r in back.collect()} == expected
 
     document = geojson.collections(
-        found.withColumn("query_id", F.lit(1)), geojson.sign_feature(), "query_id"
+        found.withColumn("query_id", F.lit(1)), geojson.sign_feature(), "query_id", 100
     ).first()["collection"]
     assert len(json.loads(document)["features"]) == len(expected)
     whole.write_text(json.dumps(json.loads(document), indent=1), encoding="utf-8")

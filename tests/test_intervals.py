@@ -53,29 +53,29 @@ def _active(code, **window):
     return code.select(in_force(TimeWindow.literal(**window))).first()[0]
 
 
-def test_or_within_a_dimension(spark):
-    assert _active(_code(spark, hours=[(7.0, 19.0), (22.0, 7.0)]), hour=(23, 2))
+def test_one_of_several_ranges_is_enough(spark):
+    code = _code(spark, hours=[(6.0, 10.5), (21.0, 5.0)])
+    found = [_active(code, hour=w) for w in ((6.5, 9), (22, 4), (4, 6.5), (11, 12))]
+    assert found == [True, True, False, False]
 
 
-def test_unconstrained_is_always_on(spark):
-    assert _active(_code(spark), hour=(9, 10), day=(1, 5), month=(1, 12))
-
-
-def test_and_across_dimensions(spark):
-    code = _code(spark, hours=[(8.0, 18.0)], days=[(1, 5)])
-    assert _active(code, hour=(9, 10), day=(1, 5))
-    assert not _active(code, hour=(9, 10), day=(6, 7))
+def test_every_asked_dimension_has_to_hold(spark):
+    code = _code(spark, hours=[(10.0, 14.5)], days=[(2, 4)])
+    windows = [((11, 14), (3, 4)), ((11, 14), (4, 5)), ((9, 14), (3, 4)), ((9, 14), (5, 5))]
+    assert [_active(code, hour=h, day=d) for h, d in windows] == [True, False, False, False]
+    assert _active(_code(spark), hour=(3, 5), day=(7, 1), month=(6, 9))
 
 
 def test_half_given_dimension_is_off(spark):
     assert _active(_code(spark, hours=[(8.0, 18.0)]), hour=(20, None))
 
 
-def test_not_inverts(spark):
-    code = _code(spark, hours=[(8.0, 18.0)])
-    window = TimeWindow.literal(hour=(9, 10))
-    row = code.select(matches(window, F.lit(False)), matches(window, F.lit(True))).first()
-    assert tuple(row) == (True, False)
+def test_negation_flips_each_answer(spark):
+    code = _code(spark, hours=[(13.0, 16.0)], days=[(6, 7)])
+    for window in (dict(hour=(14, 15)), dict(hour=(15, 17)), dict(hour=(14, 15), day=(5, 6))):
+        asked = TimeWindow.literal(**window)
+        plain, negated = code.select(matches(asked, F.lit(False)), matches(asked, F.lit(True))).first()
+        assert plain != negated
 
 
 def test_null_ranges_count_as_none(spark):

@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside import schemas
-from kerbside.operators.viewport import ResultTooLarge, check_size
+from kerbside.operators.viewport import result_sizes
 from kerbside.plans import display, report
 from kerbside.plans import signs as S
 from kerbside.plans import spots as SP
-from kerbside.plans.markers import check_markers, marker_layers
+from kerbside.plans.markers import marker_layers
 from kerbside.plans.requests import SignQuery, SpotQuery
 from kerbside.sources import geojson
 from tests import fixtures
@@ -30,13 +30,13 @@ CASES = [
     (SignQuery(BOX), {0, 1}),
     (SignQuery(BOX, reserved=True), {1}),
     (SignQuery(BOX, reserved=False), {0}),
-    (SignQuery(BOX, hour=(10, 11), day=(1, 5)), {0, 1}),
-    (SignQuery(BOX, hour=(20, 21), day=(1, 5)), {1}),
-    (SignQuery(BOX, hour=(20, 21), day=(1, 5), not_in_range=True), {0}),
+    (SignQuery(BOX, hour=(10, 11), day=(1, 4)), {0, 1}),
+    (SignQuery(BOX, hour=(20, 21), day=(1, 4)), {1}),
+    (SignQuery(BOX, hour=(20, 21), day=(1, 4), not_in_range=True), {0}),
     (SignQuery(BOX, not_in_range=True), set()),
     (SignQuery(BOX, categories=()), set()),
-    (SignQuery((-73.55, 45.49, -73.57, 45.51)), set()),
-    (SignQuery((-73.560, 45.500, -73.560, 45.500)), {0}),
+    (SignQuery((-73.62, 45.53, -73.64, 45.55)), set()),
+    (SignQuery((-73.631, 45.541, -73.631, 45.541)), {0}),
     (SignQuery((-180.0, -90.0, 180.0, 90.0)), {0, 1, 3}),
 ]
 
@@ -92,11 +92,11 @@ def test_regex_and_all_mode(tables):
 
 
 SPOT_CASES = [
-    (SpotQuery(BOX, hour=(10, 11), day=(1, 5)), {"S1": False, "S2": True, "S3": True}),
-    (SpotQuery(BOX, hour=(20, 21), day=(1, 5)), {"S1": True, "S2": True, "S3": True}),
+    (SpotQuery(BOX, hour=(10, 11), day=(1, 4)), {"S1": False, "S2": True, "S3": True}),
+    (SpotQuery(BOX, hour=(20, 21), day=(1, 4)), {"S1": True, "S2": True, "S3": True}),
     (SpotQuery(BOX, hour=(10, 11), day=(6, 7)), {"S1": True, "S2": True, "S3": True}),
     (SpotQuery(BOX, hour=(10, 11)), {"S1": True, "S2": True, "S3": True}),
-    (SpotQuery(BOX, day=(1, 5)), {"S1": True, "S2": True, "S3": True}),
+    (SpotQuery(BOX, day=(1, 4)), {"S1": True, "S2": True, "S3": True}),
 ]
 
 
@@ -115,13 +115,11 @@ def test_batch_spots(spark, tables):
         assert len(mine) == len(expected)
 
 
-def test_size_guard(tables):
+def test_result_sizes(tables):
     found = S.query_signs(tables.signs, tables.codes, SignQuery(BOX))
     answered = SP.query_spots(tables.spots, SpotQuery(BOX))
-    assert check_size(found, answered) == 5
-    with pytest.raises(ResultTooLarge) as refused:
-        check_size(found, answered, limit=4)
-    assert refused.value.total == 5
+    sizes = [result_sizes(found, answered, limit).first() for limit in (4, 5)]
+    assert [(r["total"], r["refused"]) for r in sizes] == [(5, True), (5, False)]
 
 
 def test_request_parameters():
@@ -138,13 +136,11 @@ def test_marker_layers(tables):
     assert sorted((r["kind"], r["label"]) for r in rows) == [
         ("free", ""),
         ("free", ""),
-        ("paid", "mon,tue,wed,thu,fri: 09:00:00-18:00:00"),
-        ("sign", r"\P 9h-17h LUN A VEN"),
+        ("paid", "mon,tue,wed,thu: 08:00:00-20:00:00"),
+        ("sign", r"\P 7h30-12h LUN A JEU"),
     ]
     assert marker_layers(tables, view, include_signs=False).count() == 3
     assert marker_layers(tables, view, include_signs=False, include_spots=False).count() == 0
-    with pytest.raises(ResultTooLarge):
-        check_markers(marker_layers(tables, view), limit=3)
 
 
 def test_sign_feature_keeps_nulls(tables):
@@ -152,7 +148,7 @@ def test_sign_feature_keeps_nulls(tables):
     feature = json.loads(found.select(geojson.sign_feature()).first()[0])
     assert feature == {
         "type": "Feature",
-        "geometry": {"type": "Point", "coordinates": [-73.562, 45.502]},
+        "geometry": {"type": "Point", "coordinates": [-73.634, 45.544]},
         "properties": {
             "sign_id": 2,
             "category": "prohibited",
@@ -164,15 +160,15 @@ def test_sign_feature_keeps_nulls(tables):
 
 
 def test_spot_feature(tables):
-    answered = SP.query_spots(tables.spots, SpotQuery(BOX, hour=(10, 11), day=(1, 5)))
+    answered = SP.query_spots(tables.spots, SpotQuery(BOX, hour=(10, 11), day=(1, 4)))
     feature = json.loads(answered.where("place_id = 'S1'").select(geojson.spot_feature()).first()[0])
     assert feature["properties"] == {
         "place_id": "S1",
         "is_currently_free": False,
-        "tariff_hourly": 300.0,
+        "tariff_hourly": 225.0,
         "spot_type": "Normal",
-        "street": "Rue X",
-        "periods": ["LUN-VEN 9-18"],
+        "street": "Rue Ontario",
+        "periods": ["LUN-JEU 8-20"],
     }
 
 

@@ -105,7 +105,7 @@ def long_spot(spark, tmp_path_factory):
             )
     periods = spark.createDataFrame(rows, schemas.SPOT_PERIODS)
     places = spark.createDataFrame(
-        [(p, "-73.56", "45.50", "1", "T", "S") for p in ("HOT", "A", "B", "EMPTY")],
+        [(p, "-73.63", "45.54", "1", "T", "S") for p in ("HOT", "A", "B", "EMPTY")],
         schemas.RAW_PLACES,
     )
     path = str(tmp_path_factory.mktemp("spots"))
