@@ -13,7 +13,7 @@ def local_session(cores: int | str = "*", app_name: str = "kerbside", **settings
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app_name)
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("KERBSIDE_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("KERBSIDE_DRIVER_MEMORY", "8g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
