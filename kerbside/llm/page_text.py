@@ -1,22 +1,23 @@
 """Main text of web pages by removal of site templates.
 
 1. Every page is parsed into a tree of elements. Subtrees outside the article (an ``article`` or
-   ``main`` element; without one, all subtrees) are hashed: tag, attributes and text, all below.
+   ``main`` element; without one, all subtrees) and the boxes (``div``, ``section``) within it are
+   hashed: tag, attributes and text, all below.
 2. Spark counts, per host, in how many different surroundings (the hash of the parent subtree, or
    of the page's article for elements next to it) a subtree occurs. Copies of one page are one
    surrounding, so a page that a host serves many times is no template.
 3. Subtrees that recur in at least ``LEAST_PAGES`` surroundings, and in ``LEAST_SHARE`` of the
-   host's different pages, are deleted. Elements whose tag or attributes say that they are no
-   article text (navigation, footers, adverts, forms, comments and so on) are deleted as well:
-   they may be different on every page. Recurrence deletes nothing of a page whose markup names an
-   ``article`` or ``main`` element, as only what lies outside could go, and that is left out anyway.
-4. What is left of the article (or body) is cut into blocks at block elements. Character
+   host's different pages (boxes within an article: in ``INNER_SHARE`` of them), are deleted. Elements
+   whose tag or attributes say that they are no article text (navigation, footers, adverts, forms,
+   comments and so on) are deleted as well: they may be different on every page.
+4. Every page meets its own deletions in one join on its hash, in compressed form. What is left of the article (or body) is cut into blocks at block elements. Character
    references are decoded, white space within a block becomes one space, empty blocks go, and
    blocks are joined by newlines in page order.
 
 Null pages read as empty and give an empty text; pages without a host share no templates; rows
 that repeat a page_id are separate pages. Unclosed, misnested and cut-off markup is read as far
-as it goes. Nothing within the article is dropped for recurring elsewhere.
+as it goes. Paragraphs, headings, lists and tables within an article stay however often they
+recur: texts share passages, and a page may quote another one.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +37,8 @@ from kerbside.llm.common import Steps, text_slices
 
 LEAST_PAGES = 5
 LEAST_SHARE = 0.02
+INNER_SHARE = 0.5
+_BOXES = {"div", "section"}
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -197,22 +201,25 @@ def articles(root: Node) -> list[Node]:
     return []
 
 
-def templates_of(html: str) -> tuple[bytes, list[tuple[int, int]]]:
-    """Digest of the page's content, and (subtree, surrounding) of subtrees outside the article."""
+def templates_of(html: str) -> tuple[bytes, list[tuple[int, int, bool]]]:
+    """Digest of the page's content, and (subtree, surrounding, within the article) of each subtree."""
     root = parse(html)
     hash_subtrees(root)
     main = articles(root)
-    inside = {id(n) for n in main}
+    tops = {id(n) for n in main}
     content = b"".join(n.digest for n in main) or root.digest
-    found, work = [], [(root, None)]
+    # the root stands for the page in its host's count; equal roots are copies, so it is no template
+    found = [(_number(root.digest), _number(content), False)]
+    work: list = [(root, None, False)]
     while work:
-        node, parent = work.pop()
-        if id(node) in inside:
-            continue
-        if parent is not None and node.tag not in ("html", "body", "head", "#root"):
+        node, parent, inner = work.pop()
+        top = id(node) in tops
+        counted = node.tag in _BOXES if inner else not top and node.tag not in ("html", "body", "head", "#root")
+        if parent is not None and counted:
             around = content if parent.tag in ("html", "body", "#root") else parent.digest
-            found.append((_number(node.digest), _number(hashlib.blake2b(around + content, digest_size=8).digest())))
-        work += [(c, node) for c in node.children if isinstance(c, Node)]
+            place = _number(hashlib.blake2b(around + content, digest_size=8).digest())
+            found.append((_number(node.digest), place, inner))
+        work += [(c, node, inner or top) for c in node.children if isinstance(c, Node)]
     return content, list(dict.fromkeys(found))
 
 
@@ -242,7 +249,7 @@ def main_text(html: str, templates: set[int]) -> str:
                 continue
             if item is not top and says_no_text(item):
                 continue
-            if not main and _number(item.digest) in templates:
+            if item is not top and (not main or item.tag in _BOXES) and _number(item.digest) in templates:
                 continue
             if not main and item.tag == "header":
                 continue
@@ -252,28 +259,26 @@ def main_text(html: str, templates: set[int]) -> str:
     return "\n".join(t for t in texts if t)
 
 
-_ARTICLE_MARK = r"(?i)<(article|main)[\s>/]"
-
-
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """page key, host, subtree, surrounding, content."""
+    """page key, host, subtree, surrounding, whether within the article, content."""
 
     def run(batches):
         for batch in batches:
             for first, texts in text_slices(batch, "html"):
                 keys = batch.column("key").slice(first, len(texts))
                 hosts = batch.column("host").slice(first, len(texts))
-                rows, trees, around, content = [], [], [], []
+                rows, trees, around, inner, content = [], [], [], [], []
                 for row, html in enumerate(texts):
                     digest, found = templates_of(html)
-                    for tree, place in found:
+                    for tree, place, within in found:
                         rows.append(row)
                         trees.append(tree)
                         around.append(place)
+                        inner.append(within)
                         content.append(_number(digest))
                 taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -282,18 +287,19 @@ def _subtrees(pages: DataFrame) -> DataFrame:
                         hosts.take(taken),
                         pa.array(trees, pa.int64()),
                         pa.array(around, pa.int64()),
+                        pa.array(inner, pa.bool_()),
                         pa.array(content, pa.int64()),
                     ],
-                    names=["key", "host", "tree", "around", "content"],
+                    names=["key", "host", "tree", "around", "inner", "content"],
                 )
 
     return pages.select("key", "host", "html").mapInArrow(
-        run, "key long, host string, tree long, around long, content long"
+        run, "key long, host string, tree long, around long, inner boolean, content long"
     )
 
 
 def site_templates(found: DataFrame) -> DataFrame:
-    """host, tree of the subtrees that recur across a host's different pages."""
+    """host, tree, share of the subtrees that recur across a host's different pages."""
     pages = (
         found.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     )
@@ -305,7 +311,27 @@ def site_templates(found: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"))
         .filter(F.col("n") >= LEAST_PAGES)
     )
-    return recurring.join(pages, "host").filter(F.col("n") >= LEAST_SHARE * F.col("pages")).select("host", "tree")
+    share = F.col("n") / F.col("pages")
+    return recurring.join(pages, "host").filter(share >= LEAST_SHARE).select("host", "tree", share.alias("share"))
+
+
+def _packed(pages: DataFrame) -> DataFrame:
+    """page_id, url, key, and the html in compressed form."""
+
+    def run(batches):
+        compressor = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            for first, texts in text_slices(batch, "html"):
+                part = batch.slice(first, len(texts))
+                packed = pa.array([compressor.compress(t.encode()) for t in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("page_id"), part.column("url"), part.column("key"), packed],
+                    names=["page_id", "url", "key", "packed"],
+                )
+
+    fields = [pages.schema[name] for name in ("page_id", "url", "key")]
+    schema = T.StructType([*fields, T.StructField("packed", T.BinaryType())])
+    return pages.select("page_id", "url", "key", "html").mapInArrow(run, schema)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -318,27 +344,40 @@ def extract(pages: DataFrame) -> DataFrame:
     found = steps.keep(_subtrees(with_host), "page_trees")
     templates = steps.keep(site_templates(found), "page_templates")
     per_page = steps.keep(
-        found.join(templates, ["host", "tree"], "left_semi")
+        found.select("key", "host", "tree", "inner")
+        .join(templates, ["host", "tree"])
+        .filter(~F.col("inner") | (F.col("share") >= INNER_SHARE))
         .groupBy("key")
         .agg(F.collect_set("tree").alias("trees")),  # at most the elements of one page
         "page_deletions",
     )
+    steps.drop("page_trees", "page_templates")
 
     def run(batches):
+        unpack = zstandard.ZstdDecompressor()
+
+        def taken(part, out):
+            return pa.RecordBatch.from_arrays(
+                [
+                    part.column("page_id"),
+                    part.column("url"),
+                    pa.array(out, pa.string()),
+                    pa.array([len(t) for t in out], pa.int64()),
+                ],
+                names=["page_id", "url", "text", "n_chars"],
+            )
+
         for batch in batches:
-            for first, texts in text_slices(batch, "html"):
-                trees = batch.column("trees").slice(first, len(texts)).to_pylist()
-                out = [main_text(html, set(own or ())) for html, own in zip(texts, trees)]
-                part = batch.slice(first, len(texts))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("page_id"),
-                        part.column("url"),
-                        pa.array(out, pa.string()),
-                        pa.array([len(t) for t in out], pa.int64()),
-                    ],
-                    names=["page_id", "url", "text", "n_chars"],
-                )
+            first, out, held = 0, [], 0
+            for packed, trees in zip(batch.column("packed"), batch.column("trees")):
+                html = unpack.decompress(packed.as_py()).decode()
+                out.append(main_text(html, set(trees.as_py() or ())))
+                held += len(html)
+                if held >= 1 << 20:
+                    yield taken(batch.slice(first, len(out)), out)
+                    first, out, held = first + len(out), [], 0
+            if out:
+                yield taken(batch.slice(first, len(out)), out)
 
     schema = T.StructType(
         [
@@ -348,9 +387,7 @@ def extract(pages: DataFrame) -> DataFrame:
             T.StructField("n_chars", T.LongType()),
         ]
     )
-    # deletions do not reach into an article, so only pages without one meet theirs
-    marked = F.coalesce(F.col("html").rlike(_ARTICLE_MARK), F.lit(True))
-    columns = ["page_id", "url", "html", "trees"]
-    with_article = named.filter(marked).withColumn("trees", F.lit(None).cast("array<long>")).select(columns)
-    without = named.filter(~marked).join(per_page, "key", "left").select(columns)
-    return with_article.unionByName(without).mapInArrow(run, schema)
+    # one strategy at every size: both sides are dealt by the page's hash
+    return _packed(named).join(per_page.hint("merge"), "key", "left").select(
+        "page_id", "url", "packed", "trees"
+    ).mapInArrow(run, schema)

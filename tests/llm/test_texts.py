@@ -240,3 +240,18 @@ def test_copies_of_one_page_are_no_template(spark):
     pages = spark.createDataFrame([(i, "https://one.example.org/", same) for i in range(30)],
                                   "page_id long, url string, html string")
     assert {r.text for r in page_text.extract(pages).collect()} == {"all of it\nagain and again"}
+
+
+def test_boxes_of_the_site_go_from_articles_too(spark):
+    def html(i, box):
+        return f"<article><p>Shared passage</p><p>own {i}</p><ul><li>usual</li></ul>{box}</article>"
+
+    box = "<div class='k3'>Read on <b>any</b> device</div>"
+    site = [(i, "https://one.example.org/", html(i, box)) for i in range(12)]
+    rare = [(100 + i, "https://two.example.org/", html(i, box if i < 6 else "")) for i in range(30)]
+    pages = spark.createDataFrame(site + rare, "page_id long, url string, html string")
+    texts = {r.page_id: r.text for r in page_text.extract(pages).collect()}
+    for i in range(12):
+        assert texts[i] == f"Shared passage\nown {i}\nusual"
+    for i in range(30):
+        assert texts[100 + i] == f"Shared passage\nown {i}\nusual" + ("\nRead on any device" if i < 6 else "")
