@@ -546,9 +546,14 @@ def oracles() -> dict[str, str]:
                weekday_mask, description, count(*) AS n_links
              FROM links GROUP BY ALL""",
         "spots_curated": _with(LINKS, PLACES)
-        + f"""SELECT {_SPOT_COLUMNS}, start_hour, end_hour, weekday_mask, description
-              FROM places LEFT JOIN (SELECT DISTINCT place_id, start_time, end_time, start_hour,
-                end_hour, weekday_mask, description FROM links) USING (place_id)""",
+        + f"""SELECT {_SPOT_COLUMNS}, start_hour, end_hour, weekday_mask, description, n_links
+              FROM places LEFT JOIN (SELECT place_id, start_time, end_time, start_hour, end_hour,
+                weekday_mask, description, count(*) AS n_links FROM links GROUP BY ALL) USING (place_id)""",
+        "spots_split": _with(LINKS, PLACES)
+        + f"""SELECT {_SPOT_COLUMNS}, start_hour, end_hour, weekday_mask, description, n_links,
+                1::BIGINT AS n_first
+              FROM places LEFT JOIN (SELECT place_id, start_time, end_time, start_hour, end_hour,
+                weekday_mask, description, count(*) AS n_links FROM links GROUP BY ALL) USING (place_id)""",
         "via_regulations": _with(LINKS, PLACES)
         + """SELECT place_id, longitude, latitude, start_exact AS start_hour, end_exact AS end_hour,
                weekday_mask, description, count(*) AS n_links
@@ -578,6 +583,12 @@ def oracles() -> dict[str, str]:
         + "SELECT query_id, sign_id "
         + _batch_pairs(_all_pass(_COLUMN_ENDS, "q.code_rpa", "q.not_in_range")),
         "batch_spot_query": _with(LINKS, SPANS, PLACES, _PERIOD_TEXT, QUERY_ROWS)
+        + f"""SELECT query_id, {_SPOT_COLUMNS}, description,
+                hour_start IS NULL OR hour_end IS NULL OR day_start IS NULL OR day_end IS NULL
+                OR NOT {_paid(_COLUMN_ENDS['hour'], _COLUMN_ENDS['day'], 'q.place_id')} AS is_currently_free
+              FROM (SELECT q.*, s.* FROM queries q JOIN places s ON {_BOX_MATCH}) q
+              LEFT JOIN texts USING (place_id)""",
+        "batch_split_spots": _with(LINKS, SPANS, PLACES, _PERIOD_TEXT, QUERY_ROWS)
         + f"""SELECT query_id, {_SPOT_COLUMNS}, description,
                 hour_start IS NULL OR hour_end IS NULL OR day_start IS NULL OR day_end IS NULL
                 OR NOT {_paid(_COLUMN_ENDS['hour'], _COLUMN_ENDS['day'], 'q.place_id')} AS is_currently_free
@@ -600,6 +611,8 @@ def oracles() -> dict[str, str]:
         + f"SELECT sign_id, {_SIGN_FEATURE} AS feature " + _sign_rows("sign_query_time"),
         "geojson_spot_features": _ALL_SPOTS
         + f"SELECT {_SPOT_COLUMNS}, is_currently_free, description FROM {_described_spots('spot_query_free')}",
+        "geojson_split_spots": _ALL_SPOTS
+        + f"SELECT {_SPOT_COLUMNS}, is_currently_free, description FROM {_described_spots('spot_query_free')}",
         "geojson_read": _ALL_SIGNS + f"SELECT {_SIGN_COLUMNS} " + _sign_rows("sign_query_reserved"),
         "feature_collections": _with(PARSED, SIGNS, QUERY_ROWS)
         + f"SELECT {_SIGN_COLUMNS} {_batch_pairs(_BATCH_ANY)}",

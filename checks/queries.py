@@ -22,7 +22,7 @@ from kerbside.plans.prepared import curated_tables
 from kerbside.plans.requests import SignQuery, SpotQuery
 from kerbside.sources import delimited, geojson
 from kerbside.sources import star_schema as inputs
-from kerbside.storage import new_path
+from kerbside.storage import new_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -171,6 +171,45 @@ def spots_curated(spark, folder):
     )
 
 
+# Small enough for most places to span several curated rows.
+SPLIT_PERIODS = 10
+
+
+def _split_spots(spark, folder) -> DataFrame:
+    raw = inputs.raw_tables(spark, folder)
+    periods = curated_tables(spark, folder).spot_periods
+    return written(B.build_spots(raw.places, periods, periods_per_row=SPLIT_PERIODS), "split-spots")
+
+
+@query
+def spots_split(spark, folder):
+    """Periods of split spots, with the number of rows that stand for their place."""
+    place = [n for n in schemas.SPOTS.names if n not in ("periods", "part_no", "n_parts")]
+    spots = _split_spots(spark, folder)
+    first = spots.where("part_no = 0").groupBy("place_id").agg(F.count(F.lit(1)).alias("n_first"))
+    return (
+        spots.select(*place, F.explode_outer("periods").alias("period"))
+        .select(*place, "period.*")
+        .join(first, "place_id", "left")
+    )
+
+
+@query
+def batch_split_spots(spark, folder):
+    answered = SP.query_spots_batch(inputs.query_rows(spark, folder), _split_spots(spark, folder))
+    return _spot_rows(answered)
+
+
+@query
+def geojson_split_spots(spark, folder):
+    """Features of split spots read back: those without a part, or with part 0, stand for a spot."""
+    answered = SP.query_spots(_split_spots(spark, folder), SPOT_QUERIES["spot_query_free"])
+    path = new_path(spark, "features")
+    geojson.write_features(answered, geojson.spot_feature(), path)
+    back = geojson.read_features(spark, path, geojson.SPOT_PART_PROPERTIES)
+    return _spot_rows(back.withColumn("part_no", F.coalesce("part_no", F.lit(0))))
+
+
 @query
 def via_regulations(spark, folder):
     raw = inputs.raw_tables(spark, folder)
@@ -321,7 +360,9 @@ SPOT_QUERIES: dict[str, SpotQuery] = {
 
 def _spot_rows(answered: DataFrame) -> DataFrame:
     """One row per spot and description, in however many parts the spot was answered."""
-    return answered.withColumn("description", F.explode_outer("periods")).drop("periods", "part_no")
+    rows = answered.where((F.col("part_no") == 0) | (F.size("periods") > 0))
+    described = rows.withColumn("description", F.explode_outer("periods"))
+    return described.drop("periods", "part_no", "n_parts")
 
 
 def _spot_query(name: str) -> Query:

@@ -14,21 +14,19 @@ def bounded_lists(
     item: Column,
     name: str,
     limit: int,
-    spread_by: Column | None = None,
 ) -> DataFrame:
     """Sorted lists of the items of each key: keys, n_parts, part_no and the list.
 
     A key with more than ``limit`` items is spread over ``n_parts`` rows of about that many
     items each, so no task ever gathers a whole hot key. Items must be distinct within a
-    key, and ``rows`` should be a written table because it is read twice. Items that agree
-    on ``spread_by`` stay together; by default every item is placed on its own. Parts are
-    counted from 0, and every key has its part 0.
+    key, and ``rows`` should be a written table because it is read twice. Parts are counted
+    from 0, and every key has its part 0.
 
     The keys over the limit are written first: there are few of them, and from the real
     size of that table the planner decides by itself whether to broadcast it.
     """
     rows = rows.withColumn("_item", item)
-    place = F.xxhash64(F.col("_item") if spread_by is None else spread_by)
+    place = F.xxhash64("_item")
     sizes = rows.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / F.lit(limit)).alias("n_parts"), F.min(place).alias("_anchor")
     )

@@ -17,7 +17,11 @@ def _positions(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def number_rows(
-    df: DataFrame, order: list[str], id_column: str, copy_column: str | None = None
+    df: DataFrame,
+    order: list[str],
+    id_column: str,
+    copy_column: str | None = None,
+    slice_column: str | None = None,
 ) -> DataFrame:
     """Number the rows 0, 1, 2, ... by ``order``; the result is range-partitioned and sorted.
 
@@ -27,6 +31,9 @@ def number_rows(
 
     ``copy_column`` tells rows apart that agree on all of ``order``, so that many copies of
     one row still split over partitions. It is used for placing only and then dropped.
+
+    ``slice_column`` adds the number of the sorted partition a row comes from. The second pass may
+    read several of these in one task; a writer that keeps slices apart restores the layout.
     """
     keys = [*order, copy_column] if copy_column else list(order)
     placed = _positions(df, keys)
@@ -42,9 +49,11 @@ def number_rows(
     offsets = counts.select(
         "_partition", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset")
     )
-    return (
+    numbered = (
         table.withColumn("_partition", partition)
         .join(F.broadcast(offsets), "_partition")
         .withColumn(id_column, F.col("_offset") + row)
-        .drop("_partition", "_offset", "_position")
     )
+    if slice_column:
+        numbered = numbered.withColumn(slice_column, F.col("_partition").cast("int"))
+    return numbered.drop("_partition", "_offset", "_position")

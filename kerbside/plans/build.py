@@ -128,7 +128,8 @@ def build_signs(raw_signs: DataFrame, codes: DataFrame, grid: Grid = Grid()) ->
         "cell", grid.cell(F.col("longitude"), F.col("latitude"))
     )
     order = ["cell", "longitude", "latitude", "code_id", "arrondissement", "fleche"]
-    return number_rows(signs, order, "sign_id", copy_column="_copy").select(*schemas.SIGNS.names)
+    numbered = number_rows(signs, order, "sign_id", copy_column="_copy", slice_column=curated.SLICE)
+    return numbered.select(*schemas.SIGNS.names, curated.SLICE)
 
 
 def type_periods(raw_periods: DataFrame, keep_seconds: bool = False) -> DataFrame:
@@ -213,7 +214,7 @@ def build_spots(
     """Places with their period list, ordered by first period and description.
 
     Places without periods keep a null list under the default left join. ``spot_periods``
-    should be a written table. A description never occurs in two parts of one spot.
+    should be a written table.
     """
     entry = F.struct(
         "first_period",
@@ -223,10 +224,9 @@ def build_spots(
         "weekday_mask",
         "start_time",
         "end_time",
+        "n_links",
     )
-    lists = bounded_lists(
-        spot_periods, ["place_id"], entry, "entries", periods_per_row, F.col("description")
-    )
+    lists = bounded_lists(spot_periods, ["place_id"], entry, "entries", periods_per_row)
     per_place = lists.select(
         "place_id",
         "n_parts",

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from kerbside.functions import periods as P
 from kerbside.functions.grid import Grid
 from kerbside.functions.intervals import TimeWindow
-from kerbside.operators.tiles import points_in_boxes
+from kerbside.operators.tiles import TiledBoxes
 from kerbside.operators.viewport import in_bbox
 from kerbside.plans.requests import SpotQuery
+from kerbside.storage import written
 
 _ANSWER = [
     "place_id",
@@ -22,11 +23,13 @@ _ANSWER = [
     "is_currently_free",
     "periods",
     "part_no",
+    "n_parts",
 ]
 
 
 def _answer(
-    spots: DataFrame,
+    whole: DataFrame,
+    parts: DataFrame,
     window: TimeWindow,
     strict: bool,
     keys: list[str],
@@ -34,22 +37,34 @@ def _answer(
 ) -> DataFrame:
     """Spots with their status and their distinct period descriptions.
 
-    Almost every spot is one curated row and is answered by a projection. A spot whose list
-    spans several curated rows keeps them: all carry the status of the whole spot, each its
-    own share of the descriptions, and part_no 0 stands for the spot. The filter on n_parts
-    reaches the scan, which skips every row group without such spots.
+    Almost every spot is one curated row (``whole``) and is answered by a projection. A spot
+    whose list spans several curated rows (``parts``) keeps them: all carry the status of the
+    whole spot, each its own share of the descriptions, and part_no 0 stands for the spot. A
+    description that occurs in several parts stays in the first of them.
     """
-    answered = spots.withColumn(
-        "is_currently_free", P.is_free(F.col("periods"), window.hour, window.day, strict, needed)
-    ).withColumn("periods", P.descriptions(F.col("periods")))
-    whole = answered.where(F.col("n_parts") == 1).select(*keys, *_ANSWER)
-
-    parts = answered.where(F.col("n_parts") > 1)
-    status = parts.groupBy(*keys, "place_id").agg(
-        F.bool_and("is_currently_free").alias("is_currently_free")
+
+    def answered(spots: DataFrame) -> DataFrame:
+        return spots.withColumn(
+            "is_currently_free", P.is_free(F.col("periods"), window.hour, window.day, strict, needed)
+        ).withColumn("periods", P.descriptions(F.col("periods")))
+
+    parts = answered(parts)
+    spot, part = [*keys, "place_id"], [*keys, "place_id", "part_no"]
+    status = parts.groupBy(*spot).agg(F.bool_and("is_currently_free").alias("is_currently_free"))
+    owned = (
+        parts.select(*part, F.posexplode("periods").alias("_place", "_text"))
+        .groupBy(*spot, "_text")
+        .agg(F.min(F.struct("part_no", "_place")).alias("_first"))
+        .groupBy(*spot, F.col("_first.part_no").alias("part_no"))
+        .agg(F.array_sort(F.collect_list(F.struct("_first._place", "_text"))).alias("_owned"))
+    )
+    combined = (
+        parts.drop("is_currently_free", "periods")
+        .join(status, spot)
+        .join(owned, part, "left")
+        .withColumn("periods", F.coalesce(F.col("_owned._text"), F.array().cast("array<string>")))
     )
-    combined = parts.drop("is_currently_free").join(status, [*keys, "place_id"])
-    return whole.unionByName(combined.select(*keys, *_ANSWER))
+    return answered(whole).select(*keys, *_ANSWER).unionByName(combined.select(*keys, *_ANSWER))
 
 
 def query_spots(spots: DataFrame, query: SpotQuery, strict: bool = False) -> DataFrame:
@@ -58,7 +73,9 @@ def query_spots(spots: DataFrame, query: SpotQuery, strict: bool = False) -> Dat
     The status is computed only when the query has both hours and days; otherwise every
     spot counts as free. Months play no part.
     """
-    return _answer(spots.where(in_bbox(query.bbox)), query.window(), strict, [])
+    seen = spots.where(in_bbox(query.bbox))
+    one_row = F.col("n_parts") == 1  # reaches the scan, which skips row groups without split spots
+    return _answer(seen.where(one_row), seen.where(~one_row), query.window(), strict, [])
 
 
 def query_spots_batch(
@@ -80,8 +97,11 @@ def query_spots_batch(
         "day_end",
         P.needed_days(*window.day).alias("_needed"),
     )
-    pairs = points_in_boxes(asked, spots, grid)
-    return _answer(pairs, window, strict, ["query_id"], F.col("_needed"))
+    tiled = TiledBoxes(asked, grid)
+    one_row = F.col("n_parts") == 1
+    whole = tiled.meet(spots.where(one_row))
+    parts = written(tiled.meet(spots.where(~one_row)), "split-spots")  # used three times
+    return _answer(whole, parts, window, strict, ["query_id"], F.col("_needed"))
 
 
 def split_spots(answered: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -68,6 +68,8 @@ PERIOD = T.StructType(
         T.StructField("end_hour", T.DoubleType()),
         T.StructField("weekday_mask", T.LongType()),
         T.StructField("description", T.StringType()),
+        # how many links the period stands for
+        T.StructField("n_links", T.LongType()),
     ]
 )
 

@@ -16,18 +16,31 @@ _SCHEMAS = {
     "spot_periods": schemas.SPOT_PERIODS,
 }
 
+# Rows of one slice are neighbours; each has its own folder, so files never mix distant ones.
+SLICE = "slice"
+
+# A viewport meets few rows of a large row group: the scan skips whole pages by their bounds.
+_PAGES = {"parquet.page.row.count.limit": "2000", "parquet.block.size": str(32 * 1024 * 1024)}
+
 
 def table_path(folder: str, table: str) -> str:
     return f"{folder.rstrip('/')}/{table}.parquet"
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return spark.read.schema(_SCHEMAS[table]).parquet(table_path(folder, table))
+    schema = _SCHEMAS[table]
+    return spark.read.schema(schema).parquet(table_path(folder, table)).select(*schema.names)
 
 
 def write_table(df: DataFrame, folder: str, table: str) -> None:
-    """Overwrite one curated table, in the declared column order."""
-    df.select(*_SCHEMAS[table].names).write.mode("overwrite").parquet(table_path(folder, table))
+    """Overwrite one curated table, in the declared column order, sliced if it has slices."""
+    names = _SCHEMAS[table].names
+    path = table_path(folder, table)
+    if SLICE in df.columns:
+        rows = df.select(*names, SLICE).sortWithinPartitions(SLICE, names[0])
+        rows.write.mode("overwrite").options(**_PAGES).partitionBy(SLICE).parquet(path)
+    else:
+        df.select(*names).write.mode("overwrite").options(**_PAGES).parquet(path)
 
 
 @dataclass(frozen=True)

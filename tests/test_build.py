@@ -90,8 +90,8 @@ def test_spots(tables):
     rows = {r["place_id"]: r for r in tables.spots.collect()}
     assert set(rows) == {"S1", "S2", "S4"}
     assert [tuple(p) for p in rows["S1"]["periods"]] == [
-        (22.0, 23 + 59 / 60.0, 0b1100000, "Nuit"),
-        (9.0, 18.0, 0b0011111, "Jour"),
+        (22.0, 23 + 59 / 60.0, 0b1100000, "Nuit", 2),
+        (9.0, 18.0, 0b0011111, "Jour", 3),
     ]
     assert rows["S2"]["periods"] is None and rows["S2"]["tariff_hourly"] is None
     assert rows["S4"]["tariff_hourly"] is None and len(rows["S4"]["periods"]) == 1

@@ -17,7 +17,7 @@ from kerbside.operators.tiles import points_in_boxes
 from kerbside.plans import build as B
 from kerbside.plans import spots as SP
 from kerbside.plans.requests import SpotQuery
-from kerbside.sources import geojson
+from kerbside.sources import curated, geojson
 from kerbside.storage import intermediate_tables, written
 from tests import fixtures
 from tests.model import contained, spans
@@ -235,3 +235,57 @@ def test_centroids_do_not_depend_on_partitioning(spark):
     ]
     assert results[0] == results[1]
     assert sum(r[3] for r in results[0]) == 6_000
+
+
+def test_one_hot_description_is_split_and_answered_once(spark, tmp_path):
+    periods = spark.range(300).select(
+        F.lit("HOT").alias("place_id"), F.col("id").alias("first_period"),
+        F.format_string("%02d:00:00", F.col("id") % 12).alias("start_time"),
+        F.format_string("20:%02d:%02d", F.col("id") % 60, F.floor(F.col("id") / 60)).alias("end_time"),
+        (F.col("id") % 12).cast("double").alias("start_hour"), F.lit(20.0).alias("end_hour"),
+        F.lit(127).cast("bigint").alias("weekday_mask"), F.lit("same").alias("description"),
+        (F.col("id") + 1).alias("n_links"),
+    ).select(*schemas.SPOT_PERIODS.names)
+    places = spark.createDataFrame([("HOT", "-73.63", "45.54", "1", "T", "S")], schemas.RAW_PLACES)
+    B.build_spots(places, periods, periods_per_row=10).write.parquet(str(tmp_path / "spots"))
+    spots = spark.read.schema(schemas.SPOTS).parquet(str(tmp_path / "spots"))
+    sizes = [r[0] for r in spots.select(F.size("periods")).collect()]
+    assert sum(sizes) == 300 and max(sizes) < 30 and len(sizes) > 20
+    assert spots.select(F.explode("periods.n_links").alias("n")).agg(F.sum("n")).first()[0] == 300 * 301 // 2
+    answered = SP.query_spots(spots, SpotQuery(fixtures.BOX, hour=(13, 14), day=(1, 1)))
+    rows = answered.collect()
+    assert [t for r in rows for t in r["periods"]] == ["same"] and not any(r["is_currently_free"] for r in rows)
+    geojson.write_features(answered, geojson.spot_feature(), str(tmp_path / "features"))
+    back = geojson.read_features(spark, str(tmp_path / "features"), geojson.SPOT_PART_PROPERTIES)
+    assert back.where("part_no = 0").count() == 1 and back.where("n_parts = 30").count() == len(sizes)
+
+
+def test_files_of_numbered_signs_do_not_overlap(spark, tmp_path):
+    signs = spark.range(20_000).select(
+        ((F.col("id") * 7919) % 20_011 / 1_000.0).alias("longitude"), F.lit(45.5).alias("latitude"),
+        F.lit("a").alias("arrondissement"), F.lit("0").alias("fleche"), F.lit(0).cast("bigint").alias("code_id"),
+        F.lit("other").alias("category"), F.lit(False).alias("is_reserved"),
+    )
+    with settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        curated.write_table(
+            number_rows(signs, ["longitude"], "sign_id", slice_column=curated.SLICE), str(tmp_path), "signs"
+        )
+    back = curated.read_table(spark, str(tmp_path), "signs")
+    assert back.columns == schemas.SIGNS.names
+    files = back.groupBy(F.input_file_name()).agg(
+        F.min("sign_id"), F.max("sign_id"), F.count(F.lit(1)), F.min("longitude"), F.max("longitude")
+    ).collect()
+    ordered = sorted(tuple(r)[1:] for r in files)
+    assert len(ordered) == 8 and ordered[0][0] == 0 and ordered[-1][1] == 19_999
+    assert all(a[1] + 1 == b[0] and a[4] <= b[3] for a, b in zip(ordered, ordered[1:]))
+    assert all(r[1] - r[0] + 1 == r[2] for r in ordered)
+
+
+def test_a_wide_box_adds_no_points_to_the_other_levels(spark):
+    points = spark.createDataFrame([(-73.9, 45.45), (-73.5, 45.65)], "longitude double, latitude double")
+    boxes = spark.createDataFrame(
+        [(0, -73.901, 45.449, -73.899, 45.451), (1, -73.97, 45.41, -73.48, 45.70)],
+        "query_id long, min_lon double, min_lat double, max_lon double, max_lat double",
+    )
+    found = tiles.TiledBoxes(boxes).meet(points)
+    assert sorted((r["query_id"], r["longitude"]) for r in found.collect()) == [(0, -73.9), (1, -73.9), (1, -73.5)]
