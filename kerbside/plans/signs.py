@@ -64,7 +64,7 @@ def query_signs_batch(
     queries: DataFrame,
     signs: DataFrame,
     codes: DataFrame,
-    grid: Grid = Grid(),
+    grid: Grid | None = None,
     mode: str = "any",
     strict: bool = False,
 ) -> DataFrame:

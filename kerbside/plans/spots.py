@@ -79,7 +79,7 @@ def query_spots(spots: DataFrame, query: SpotQuery, strict: bool = False) -> Dat
 
 
 def query_spots_batch(
-    queries: DataFrame, spots: DataFrame, grid: Grid = Grid(), strict: bool = False
+    queries: DataFrame, spots: DataFrame, grid: Grid | None = None, strict: bool = False
 ) -> DataFrame:
     """Answers of many query rows by one job: one row per (query_id, spot)."""
     window = TimeWindow(

@@ -20,7 +20,7 @@ _SCHEMAS = {
 SLICE = "slice"
 
 # A viewport meets few rows of a large row group: the scan skips whole pages by their bounds.
-_PAGES = {"parquet.page.row.count.limit": "2000", "parquet.block.size": str(32 * 1024 * 1024)}
+_PAGES = {"parquet.page.row.count.limit": "1000", "parquet.block.size": str(32 * 1024 * 1024)}
 
 
 def table_path(folder: str, table: str) -> str:

@@ -2,6 +2,7 @@
 
 import os
 import random
+from collections import Counter
 from contextlib import contextmanager
 
 import pytest
@@ -281,6 +282,23 @@ def test_files_of_numbered_signs_do_not_overlap(spark, tmp_path):
     assert all(r[1] - r[0] + 1 == r[2] for r in ordered)
 
 
+def test_boxes_of_another_city_meet_in_many_tiles(spark):
+    rng = random.Random(4)
+    rows = [(i, rng.uniform(2.2, 2.5), rng.uniform(48.8, 48.9)) for i in range(400)]
+    points = spark.createDataFrame(rows, "pid long, longitude double, latitude double")
+    boxes = [(i, x, y, x + 0.01, y + 0.01) for i, x, y in rows[:100]] + [(100, -500.0, 48.0, 500.0, 49.0)]
+    asked = spark.createDataFrame(
+        boxes, "query_id long, min_lon double, min_lat double, max_lon double, max_lat double"
+    )
+    tiled = tiles.TiledBoxes(asked)
+    assert tiled._boxes.select("_tile").distinct().count() > 50
+    found = Counter((r["query_id"], r["pid"]) for r in tiled.meet(points).collect())
+    assert found == Counter(
+        (q, p) for q, west, south, east, north in boxes for p, x, y in rows
+        if west <= x <= east and south <= y <= north
+    )
+
+
 def test_a_wide_box_adds_no_points_to_the_other_levels(spark):
     points = spark.createDataFrame([(-73.9, 45.45), (-73.5, 45.65)], "longitude double, latitude double")
     boxes = spark.createDataFrame(
