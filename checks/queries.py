@@ -523,7 +523,7 @@ def feature_collections_split(spark, folder):
 
 def _collected(answers, per_collection):
     spark = answers.sparkSession
-    documents = geojson.collections(answers, geojson.sign_feature(), "query_id", per_collection)
+    documents = geojson.collections(answers, geojson.sign_feature, "query_id", per_collection)
     path = new_path(spark, "collections")
     documents.select("collection").write.text(path)
     return geojson.read_collections(spark, path, geojson.SIGN_PROPERTIES, multi_line=False)

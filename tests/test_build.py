@@ -197,7 +197,7 @@ def test_geojson_files(spark, tables, tmp_path):
     assert {tuple(r[c] for c in sorted(back.columns)) for r in back.collect()} == expected
 
     document = geojson.collections(
-        found.withColumn("query_id", F.lit(1)), geojson.sign_feature(), "query_id", 100
+        found.withColumn("query_id", F.lit(1)), geojson.sign_feature, "query_id", 100
     ).first()["collection"]
     assert len(json.loads(document)["features"]) == len(expected)
     whole.write_text(json.dumps(json.loads(document), indent=1), encoding="utf-8")
@@ -212,6 +212,12 @@ def test_spot_features_read_back(spark, tables, tmp_path):
     assert {r["place_id"]: r["periods"] for r in back.collect()} == {
         "S1": ["Nuit", "Jour"], "S2": [], "S4": ["Jour"],
     }
+    document = geojson.collections(
+        answered.withColumn("query_id", F.lit(1)), geojson.spot_feature, "query_id", 100
+    ).first()["collection"]
+    lines = answered.select(geojson.spot_feature()).collect()
+    expected = sorted((json.loads(r[0]) for r in lines), key=lambda f: f["properties"]["place_id"])
+    assert json.loads(document) == {"type": "FeatureCollection", "features": expected}
 
 
 def test_rebuild_overwrites(spark, raw, tmp_path):

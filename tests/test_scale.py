@@ -85,7 +85,7 @@ def test_feature_collections_of_a_hot_query(spark):
         F.lit(None).cast("string").alias("arrondissement"), F.lit("x").alias("description"),
         F.lit(1.5).alias("longitude"), F.lit(2.5).alias("latitude"),
     )
-    parts = geojson.collections(rows, geojson.sign_feature(), "query_id", per_collection=50)
+    parts = geojson.collections(rows, geojson.sign_feature, "query_id", per_collection=50)
     schema = "struct<features:array<struct<properties:struct<sign_id:bigint>>>>"
     ids = parts.select(F.explode(F.from_json("collection", schema)["features"]).alias("f"))
     assert parts.count() == 10
