@@ -211,6 +211,78 @@ def test_byte_chances_sum_to_one(spark):
     assert total == pytest.approx(model.places(stream).sum(), rel=1e-5)
 
 
+def test_every_context_seen_twice_is_a_node(spark, monkeypatch):
+    import pyarrow as pa
+
+    rare = "qzx wptf kjvq ghzz bxr"  # far below 2**-16 of the bytes
+    texts = [prose(i, 1_500) for i in range(30)] + [f"{prose(50 + i, 9)} {rare}" for i in range(3)] + [None, "", rare]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    monkeypatch.setattr(context_trees, "CHUNK", 20_000)
+    found = {r.doc_id: r for r in context_trees.score_documents(docs).collect()}
+    depth = context_trees.DEPTH
+    streams = [[255] * depth + list((t or "").encode()) + [255] for t in texts]
+    counts = [Counter() for _ in range(depth + 1)]
+    for i, stream in enumerate(streams):
+        for at in range(depth, len(stream)) if not found[i].held_out else ():
+            for d in range(depth + 1):
+                counts[d][bytes(stream[at - d:at][::-1]), stream[at]] += 1
+    nodes, bits = {b""}, {}
+    for d in range(depth + 1):
+        of = Counter()
+        for (context, _), n in counts[d].items():
+            of[context] += n
+        nodes |= {c for c, n in of.items() if n >= 2}
+    for d in range(depth + 1):
+        for (context, byte), n in counts[d].items():
+            if context in nodes:
+                for k in range(8):
+                    bits.setdefault((context, (256 | byte) >> (8 - k)), [0, 0])[byte >> (7 - k) & 1] += n
+    total, stays, rests = {}, {}, {key: list(n) for key, n in bits.items()}
+    below = Counter()
+
+    def block(zeros, ones):
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - math.lgamma(zeros + ones + 1) - math.log(math.pi)
+
+    for (context, node), n in sorted(bits.items(), key=lambda x: -len(x[0][0])):
+        if len(context) < depth:
+            own, under = block(*n), below[context, node] + block(*rests[context, node])
+            high = max(own, under)
+            value = high + math.log((math.exp(own - high) + math.exp(under - high)) / 2)
+            stays[context, node] = math.exp(own - math.log(2) - value)
+        else:
+            value = block(*n)
+        if context:
+            above = (context[:-1], node)
+            below[above] += value
+            rests[above] = [a - b for a, b in zip(rests[above], n)]
+
+    def chance(context, node):
+        mixed, left = 0.0, 1.0
+        for d in range(depth + 1):
+            zeros, ones = bits.get((context[:d], node), (0, 0))
+            own = (ones + 0.5) / (zeros + ones + 1)
+            if d == depth:
+                return mixed + left * own
+            stay = stays.get((context[:d], node), 0.5)
+            mixed, left = mixed + left * stay * own, left * (1 - stay)
+            if context[:d + 1] not in nodes:
+                zeros, ones = rests.get((context[:d], node), (0, 0))
+                return mixed + left * (ones + 0.5) / (zeros + ones + 1)
+
+    for i in (2, 29, 30, 31, 32, 33, 34, 35):
+        expected = 0.0
+        for at in range(depth, len(streams[i])):
+            for k in range(8):
+                one = chance(bytes(streams[i][at - depth:at][::-1]), (256 | streams[i][at]) >> (8 - k))
+                expected += math.log10(one if streams[i][at] >> (7 - k) & 1 else 1 - one)
+        assert found[i].score == pytest.approx(expected, rel=1e-4)
+    # the model as arrays says the same
+    model = context_trees.train(docs.filter(f"doc_id in ({','.join(str(i) for i in found if not found[i].held_out)})").select("text"))
+    for i, text in enumerate(texts):
+        total = sum(model.places(s)[p].sum() for _, _, s, p, _ in context_trees.byte_runs(pa.array([text or ""])))
+        assert found[i].score == pytest.approx(total, rel=1e-3)
+
+
 def page(i, body):
     return (i, f"https://site{i % 2}.example.org/p/{i}", body)
 
