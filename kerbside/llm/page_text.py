@@ -71,13 +71,15 @@ _NO_TEXT = set(
     " nav footer aside form button select input textarea dialog menu search noframes title".split()
 )
 _SAYS_NO_TEXT = re.compile(
-    r"(?:^|[-_\s])(?:ad|ads|advert|adverts|advertisement|advertising|adsense|adslot|banner|sponsor|sponsored|promo"
+    r"(?:ad|ads|advert|adverts|advertisement|advertising|adsense|adslot|banner|sponsor|sponsored|promo"
     r"|promotion|sidebar|side-bar|aside|nav|navbar|navigation|menu|menubar|breadcrumb|breadcrumbs|cookie|cookies"
     r"|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login"
     r"|comment|comments|comment-list|disqus|reply|replies|respond|share|sharing|social|footer|site-header|masthead"
-    r"|topbar|toolbar|related|recommended|widget|pagination|pager|skip-link|search)(?:$|[-_\s0-9])",
+    r"|topbar|toolbar|related|recommended|widget|pagination|pager|skip-link|search)",
     re.I,
 )
+# The class and id of these say nothing about their text: pages and passages are named for their looks.
+_ANY_NAME = set("#root html body h1 h2 h3 h4 h5 h6 p".split())
 _ROLES = set("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
 
 
@@ -164,18 +166,22 @@ def hash_subtrees(root: Node) -> None:
             node.digest = held.digest()
 
 
-def says_no_text(node: Node) -> bool:
-    """Tag or attributes mark the element as something else than article text."""
-    if node.tag in _NO_TEXT:
+def says_no_text(node: Node, around_article: bool = False) -> bool:
+    """Tag or attributes mark the element as something else than article text.
+
+    Only whole class and id names count. What lies around an article may have any name and role, and
+    be a form."""
+    if node.tag in _NO_TEXT and not (around_article and node.tag == "form"):
         return True
     if not node.attributes:
         return False
+    named = not around_article and node.tag not in _ANY_NAME
     for m in _ATTRIBUTE.finditer(node.attributes):
         name = m.group(1).lower()
         value = next((g for g in m.groups()[1:] if g is not None), "")
-        if name in ("class", "id") and any(_SAYS_NO_TEXT.search(part) for part in value.split()):
+        if named and name in ("class", "id") and any(_SAYS_NO_TEXT.fullmatch(part) for part in value.split()):
             return True
-        if name == "role" and value.strip().lower() in _ROLES:
+        if named and name == "role" and value.strip().lower() in _ROLES:
             return True
         if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true"):
             return True
@@ -185,12 +191,14 @@ def says_no_text(node: Node) -> bool:
 
 
 def articles(root: Node) -> list[Node]:
-    """Outermost article elements that are not marked otherwise; else main elements."""
-    for tag in ("article", "main"):
+    """Outermost article elements that are not marked otherwise; else main elements.
+
+    Where marks hide all of them, names, roles and forms on the way down do not count."""
+    for around, tag in ((False, "article"), (False, "main"), (True, "article"), (True, "main")):
         found, work = [], [root]
         while work:
             node = work.pop()
-            if node is not root and says_no_text(node):
+            if node is not root and says_no_text(node, around):
                 continue
             if node.tag == tag:
                 found.append(node)

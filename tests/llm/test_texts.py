@@ -327,3 +327,24 @@ def test_boxes_of_the_site_go_from_articles_too(spark):
         assert texts[i] == f"Shared passage\nown {i}\nusual"
     for i in range(30):
         assert texts[100 + i] == f"Shared passage\nown {i}\nusual" + ("\nRead on any device" if i < 6 else "")
+
+
+def test_names_of_pages_and_passages_hide_no_text():
+    article = "<article><p>its text</p></article>"
+    for name in ("no-sidebar", "has-sidebar", "with-nav", "comment-open", "related-work", "search-algorithms", "search"):
+        body = f"<html class='{name}'><body class='{name}' id='{name}'>"
+        assert page_text.main_text(body + article, set()) == "its text"
+        assert page_text.main_text(body + "<p>plain</p>", set()) == "plain"
+        assert page_text.main_text(f"<body><div class='{name}'>{article}</div>", set()) == "its text"
+        assert page_text.main_text(f"<body><div class='{name}'><main>its text</main></div>", set()) == "its text"
+        passage = f"<article><h2 class='{name}'>Head</h2><p id='{name}'>its text</p></article>"
+        assert page_text.main_text(passage, set()) == "Head\nits text"
+        if name != "search":
+            section = f"<article><section id='{name}'>part</section><div class='x {name}'>more</div></article>"
+            assert page_text.main_text(section, set()) == "part\nmore"
+    assert page_text.main_text(f"<body><form id='f'>{article}<input></form>", set()) == "its text"
+    # what a page says of its other parts still counts
+    around = "<nav><article>a</article></nav><div class='comments'><article>b</article></div>"
+    assert page_text.main_text(f"<main>own{around}</main>", set()) == "own"
+    assert page_text.main_text(f"<body>{around}{article}", set()) == "its text"
+    assert page_text.main_text("<article>a<div class='x sidebar'>b</div><div hidden>c</div></article>", set()) == "a"
