@@ -1,14 +1,15 @@
 """Main text of web pages by removal of site templates.
 
 1. Every page is parsed into a tree of elements. Subtrees outside the article (an ``article`` or
-   ``main`` element; without one, all subtrees) and the boxes (``div``, ``section``) within it are
-   hashed: tag, attributes and text, all below.
+   ``main`` element; without one, all subtrees) and the boxes, tables, figures and lists of links
+   within it are hashed: tag, attributes and text, all below.
 2. Spark counts, per host, in how many different surroundings (the hash of the parent subtree, or
    of the page's article for elements next to it) a subtree occurs. Copies of one page are one
    surrounding, so a page that a host serves many times is no template.
-3. Subtrees that recur in at least ``LEAST_PAGES`` surroundings, and in ``LEAST_SHARE`` of the
-   host's different pages (boxes within an article: in ``INNER_SHARE`` of them), are deleted. Elements
-   whose tag or attributes say that they are no article text (navigation, footers, adverts, forms,
+3. Boxes, tables, figures and lists that recur in at least ``LEAST_PAGES`` surroundings of a host (of
+   its articles' inner ones: ``LEAST_INNER``) are deleted, however many pages the host has. Outside
+   articles plain passages (paragraphs, headings, inline elements) go as well, but only if they recur
+   in ``LEAST_SHARE`` of the host's different pages too: texts share words. Elements whose tag or attributes say that they are no article text (navigation, footers, adverts, forms,
    comments and so on) are deleted as well: they may be different on every page.
 4. Every page meets its own deletions in one join on its hash, in compressed form. What is left of the article (or body) is cut into blocks at block elements. Character
    references are decoded, white space within a block becomes one space, empty blocks go, and
@@ -16,7 +17,7 @@
 
 Null pages read as empty and give an empty text; pages without a host share no templates; rows
 that repeat a page_id are separate pages. Unclosed, misnested and cut-off markup is read as far
-as it goes. Paragraphs, headings, lists and tables within an article stay however often they
+as it goes. Paragraphs, headings and lists without links within an article stay however often they
 recur: texts share passages, and a page may quote another one.
 """
 
@@ -37,8 +38,9 @@ from kerbside.llm.common import Steps, text_slices
 
 LEAST_PAGES = 5
 LEAST_SHARE = 0.02
-INNER_SHARE = 0.5
-_BOXES = {"div", "section"}
+LEAST_INNER = 10
+_BOXES = set("center details div fieldset figure section table".split())
+_LISTS = set("dir dl menu ol ul".split())
 
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -86,10 +88,11 @@ _ROLES = set("navigation banner contentinfo complementary search alert dialog fo
 class Node:
     """An element: tag, attributes, and children that are elements or text."""
 
-    __slots__ = ("attributes", "children", "digest", "tag")
+    __slots__ = ("attributes", "children", "digest", "linked", "size", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
         self.tag, self.attributes, self.children, self.digest = tag, attributes, [], b""
+        self.size = self.linked = 0  # characters but white space: all, and within links
 
 
 def parse(html: str) -> Node:
@@ -162,10 +165,26 @@ def hash_subtrees(root: Node) -> None:
         if not down:
             held = hashlib.blake2b(f"{node.tag} {' '.join(node.attributes.split())}".encode(), digest_size=8)
             for child in node.children:
-                held.update(b"<" + child.digest if isinstance(child, Node) else " ".join(child.split()).encode())
+                if isinstance(child, Node):
+                    held.update(b"<" + child.digest)
+                    node.size += child.size
+                    node.linked += child.linked
+                else:
+                    words = child.split()
+                    held.update(" ".join(words).encode())
+                    node.size += sum(map(len, words))
+            if node.tag == "a":
+                node.linked = node.size
             node.digest = held.digest()
 
 
+def is_box(node: Node, inner: bool) -> bool:
+    """A subtree that is no plain passage; within an article, a list is one only if most of it is links."""
+    if node.tag in _LISTS:
+        return not inner or 2 * node.linked > node.size
+    return node.tag in _BOXES
+
+
 def says_no_text(node: Node, around_article: bool = False) -> bool:
     """Tag or attributes mark the element as something else than article text.
 
@@ -209,24 +228,28 @@ def articles(root: Node) -> list[Node]:
     return []
 
 
-def templates_of(html: str) -> tuple[bytes, list[tuple[int, int, bool]]]:
-    """Digest of the page's content, and (subtree, surrounding, within the article) of each subtree."""
+PLAIN, BOX, INNER = range(3)  # outside articles: passages and boxes; boxes within
+
+
+def templates_of(html: str) -> tuple[bytes, list[tuple[int, int, int]]]:
+    """Digest of the page's content, and (subtree, surrounding, kind) of each subtree."""
     root = parse(html)
     hash_subtrees(root)
     main = articles(root)
     tops = {id(n) for n in main}
     content = b"".join(n.digest for n in main) or root.digest
     # the root stands for the page in its host's count; equal roots are copies, so it is no template
-    found = [(_number(root.digest), _number(content), False)]
+    found = [(_number(root.digest), _number(content), PLAIN)]
     work: list = [(root, None, False)]
     while work:
         node, parent, inner = work.pop()
         top = id(node) in tops
-        counted = node.tag in _BOXES if inner else not top and node.tag not in ("html", "body", "head", "#root")
+        box = is_box(node, inner)
+        counted = box if inner else not top and node.tag not in ("html", "body", "head", "#root")
         if parent is not None and counted:
             around = content if parent.tag in ("html", "body", "#root") else parent.digest
             place = _number(hashlib.blake2b(around + content, digest_size=8).digest())
-            found.append((_number(node.digest), place, inner))
+            found.append((_number(node.digest), place, INNER if inner else BOX if box else PLAIN))
         work += [(c, node, inner or top) for c in node.children if isinstance(c, Node)]
     return content, list(dict.fromkeys(found))
 
@@ -257,7 +280,7 @@ def main_text(html: str, templates: set[int]) -> str:
                 continue
             if item is not top and says_no_text(item):
                 continue
-            if item is not top and (not main or item.tag in _BOXES) and _number(item.digest) in templates:
+            if item is not top and (not main or is_box(item, True)) and _number(item.digest) in templates:
                 continue
             if not main and item.tag == "header":
                 continue
@@ -272,21 +295,21 @@ def host(url: Column) -> Column:
 
 
 def _subtrees(pages: DataFrame) -> DataFrame:
-    """page key, host, subtree, surrounding, whether within the article, content."""
+    """page key, host, subtree, surrounding, kind, content."""
 
     def run(batches):
         for batch in batches:
             for first, texts in text_slices(batch, "html"):
                 keys = batch.column("key").slice(first, len(texts))
                 hosts = batch.column("host").slice(first, len(texts))
-                rows, trees, around, inner, content = [], [], [], [], []
+                rows, trees, around, kinds, content = [], [], [], [], []
                 for row, html in enumerate(texts):
                     digest, found = templates_of(html)
-                    for tree, place, within in found:
+                    for tree, place, kind in found:
                         rows.append(row)
                         trees.append(tree)
                         around.append(place)
-                        inner.append(within)
+                        kinds.append(kind)
                         content.append(_number(digest))
                 taken = pa.array(rows, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -295,19 +318,19 @@ def _subtrees(pages: DataFrame) -> DataFrame:
                         hosts.take(taken),
                         pa.array(trees, pa.int64()),
                         pa.array(around, pa.int64()),
-                        pa.array(inner, pa.bool_()),
+                        pa.array(kinds, pa.int32()),
                         pa.array(content, pa.int64()),
                     ],
-                    names=["key", "host", "tree", "around", "inner", "content"],
+                    names=["key", "host", "tree", "around", "kind", "content"],
                 )
 
     return pages.select("key", "host", "html").mapInArrow(
-        run, "key long, host string, tree long, around long, inner boolean, content long"
+        run, "key long, host string, tree long, around long, kind int, content long"
     )
 
 
 def site_templates(found: DataFrame) -> DataFrame:
-    """host, tree, share of the subtrees that recur across a host's different pages."""
+    """host, tree, n, share of the subtrees that recur across a host's different pages."""
     pages = (
         found.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     )
@@ -320,7 +343,7 @@ def site_templates(found: DataFrame) -> DataFrame:
         .filter(F.col("n") >= LEAST_PAGES)
     )
     share = F.col("n") / F.col("pages")
-    return recurring.join(pages, "host").filter(share >= LEAST_SHARE).select("host", "tree", share.alias("share"))
+    return recurring.join(pages, "host").select("host", "tree", "n", share.alias("share"))
 
 
 def _packed(pages: DataFrame) -> DataFrame:
@@ -352,9 +375,13 @@ def extract(pages: DataFrame) -> DataFrame:
     found = steps.keep(_subtrees(with_host), "page_trees")
     templates = steps.keep(site_templates(found), "page_templates")
     per_page = steps.keep(
-        found.select("key", "host", "tree", "inner")
+        found.select("key", "host", "tree", "kind")
         .join(templates, ["host", "tree"])
-        .filter(~F.col("inner") | (F.col("share") >= INNER_SHARE))
+        .filter(
+            F.when(F.col("kind") == PLAIN, F.col("share") >= LEAST_SHARE)
+            .when(F.col("kind") == INNER, F.col("n") >= LEAST_INNER)
+            .otherwise(F.lit(True))
+        )
         .groupBy("key")
         .agg(F.collect_set("tree").alias("trees")),  # at most the elements of one page
         "page_deletions",

@@ -348,3 +348,31 @@ def test_names_of_pages_and_passages_hide_no_text():
     assert page_text.main_text(f"<main>own{around}</main>", set()) == "own"
     assert page_text.main_text(f"<body>{around}{article}", set()) == "its text"
     assert page_text.main_text("<article>a<div class='x sidebar'>b</div><div hidden>c</div></article>", set()) == "a"
+
+
+def test_templates_go_by_number_at_every_size_of_a_host(spark):
+    links = "<ul><li><a href='/a'>first</a></li><li><a href='/b'>second</a></li></ul>"
+    kinds = [links, "<table><tr><td>tariff</td></tr></table>", "<figure>logo<figcaption>us</figcaption></figure>",
+             "<div class='k3'>Read on</div>"]
+
+    def inner(i, box):
+        return f"<article><p>Shared passage</p><ul><li>usual</li></ul><p>own {i}</p>{box}</article>"
+
+    def outer(i, box):
+        return f"<body><div><p>own {i}</p></div><p>plain {i} <b>Note</b></p>{box}"
+
+    rows = []
+    for host, n in (("small", 15), ("large", 700)):  # 12 of 15 and of 700 pages, which is below 2 %
+        for form in (inner, outer):
+            for k, box in enumerate(kinds):
+                for i in range(n if k == 0 else 12):
+                    rows.append((len(rows), f"https://{host}{k}{form.__name__}.org/", form(i, box if i < 12 else "")))
+            if form is inner:  # all kinds on one host
+                rows += [(len(rows) + i, f"https://{host}.org/", inner(i, "".join(kinds) if i < 12 else "")) for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in page_text.extract(pages).collect():
+        own = re.search(r"own (\d+)", r.text).group(1)
+        if "outer" in r.url:
+            assert r.text.startswith(f"own {own}\nplain {own}") and not re.search("first|tariff|logo|Read", r.text)
+        else:
+            assert r.text == f"Shared passage\nusual\nown {own}"
