@@ -20,8 +20,10 @@ starts earlier (smaller doc_id, or earlier in the same document). Every byte of
    hashed one by one instead, and an aggregation finds the first of each.
 
 Overlapping and touching repeats are joined to maximal runs at the end. Null texts read as empty;
-texts shorter than a window keep everything. Rows that repeat a doc_id count as one document in
-the order (the same string at the same place is no repeat of itself); null ids come last.
+texts shorter than a window keep everything. Every row has its
+own written number, so no two texts are ever taken for each other. Rows that repeat a doc_id count as
+one document in the order (the same string at the same place is no repeat of itself); rows without
+an id are documents of their own and come last, by the hash of their text.
 """
 
 from __future__ import annotations
@@ -42,7 +44,6 @@ WINDOW = 100
 GRAM = 20
 LARGE_GROUP = 4_096
 SEGMENT = 1 << 18
-_LAST = (1 << 63) - 1
 
 
 def _smallest(values: np.ndarray, width: int) -> np.ndarray:
@@ -78,34 +79,41 @@ def spans(text: np.ndarray):
 
 
 # A span's place is one number, ordered by its first window: 32 bits first window, 7 bits number of
-# windows less 1, 7 bits distance from the first window to the anchor, 17 bits that tell apart rows
-# that repeat a doc_id with another text.
-def packed(first, count, distance, key):
-    return (first << 31) | ((count - 1) << 24) | (distance << 17) | key
+# windows less 1, 7 bits distance from the first window to the anchor.
+def packed(first, count, distance):
+    return (first << 14) | ((count - 1) << 7) | distance
 
 
 def unpacked(place):
-    return place >> 31, ((place >> 24) & 127) + 1, (place >> 17) & 127, place & 0x1FFFF
+    return place >> 14, ((place >> 7) & 127) + 1, place & 127
 
 
-def _with_keys(docs: DataFrame) -> DataFrame:
-    """id (null ids last), key, text."""
+#: In this order windows are earlier or later: rows without an id last, place by place.
+_ORDER = ["last", "id", "place", "row"]
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """doc_id, last (no id), id (or the text's hash), row (a number of its own), text. To be written
+    once, because the numbers depend on how the rows are read."""
     return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-        F.pmod(F.xxhash64("text"), F.lit(1 << 17)).alias("key"),
+        "doc_id",
+        F.col("doc_id").isNull().alias("last"),
+        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"),
+        F.monotonically_increasing_id().alias("row"),
         "text",
     )
 
 
 def _all_spans(docs: DataFrame) -> DataFrame:
-    """anchor, span (hash of all bytes the span's windows cover), id, place."""
+    """anchor, span (hash of all bytes the span's windows cover), last, id, place, row."""
 
     def run(batches):
         for batch in batches:
             data, offsets = text_bytes(text_column(batch))
             ids = batch.column("id").to_numpy()
-            keys = batch.column("key").to_numpy()
-            held: list[list[np.ndarray]] = [[], [], [], []]
+            numbers = batch.column("row").to_numpy()
+            lasts = batch.column("last").to_numpy(zero_copy_only=False)
+            held: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for row in range(batch.num_rows):
                 text = data[offsets[row] : offsets[row + 1]]
                 if len(text) < WINDOW:
@@ -120,55 +128,61 @@ def _all_spans(docs: DataFrame) -> DataFrame:
                 # with the anchor's own hash beside it, a class is named by 128 bits
                 held[1].append(mixed(own + (place - first).astype(np.uint64)))
                 held[2].append(np.full(len(first), ids[row]))
-                held[3].append(packed(first, count, place - first, keys[row]))
+                held[3].append(packed(first, count, place - first))
+                held[4].append(np.full(len(first), numbers[row]))
+                held[5].append(np.full(len(first), lasts[row]))
                 if sum(map(len, held[0])) > 200_000:
                     yield _as_batch(held)
-                    held = [[], [], [], []]
+                    held = [[], [], [], [], [], []]
             if held[0]:
                 yield _as_batch(held)
 
     def _as_batch(held):
         columns = [np.concatenate(h) for h in held]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c.view(np.int64)) for c in columns], names=["anchor", "span", "id", "place"]
+            [*(pa.array(c.view(np.int64)) for c in columns[:5]), pa.array(columns[5])],
+            names=["anchor", "span", "id", "place", "row", "last"],
         )
 
-    return docs.mapInArrow(run, "anchor long, span long, id long, place long")
+    return docs.select("last", "id", "row", "text").mapInArrow(
+        run, "anchor long, span long, id long, place long, row long, last boolean"
+    )
 
 
 def _wanted(docs: DataFrame, places: DataFrame) -> DataFrame:
     """Each text that has places, with its sorted list of them (at most its own spans)."""
-    per_text = places.groupBy("id", "key").agg(F.collect_list("item").alias("items"))
-    return docs.join(per_text, ["id", "key"])
+    per_text = places.groupBy("row").agg(F.collect_list("item").alias("items"))
+    return docs.join(per_text, "row")
 
 
 def _contexts(wanted: DataFrame) -> DataFrame:
-    """anchor, id, place, left (bytes before the anchor, reversed), right (bytes from it on), for
-    spans of moderate groups; and window, id, place of every window of those of large groups."""
+    """anchor, last, id, place, row, left (bytes before the anchor, reversed), right (bytes from it on), for
+    spans of moderate groups; and window and its place of every window of those of large groups."""
 
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             windows: list[list] = [[], [], []]
-            for whole, id_, items in zip(
-                batch.column("text").cast(pa.large_binary()).to_pylist(),
-                batch.column("id").to_pylist(),
-                batch.column("items").to_pylist(),
+            for number, (whole, items) in enumerate(
+                zip(
+                    batch.column("text").cast(pa.large_binary()).to_pylist(),
+                    batch.column("items").to_pylist(),
+                )
             ):
                 for item in items:
-                    first, count, distance, key = unpacked(item["place"])
+                    first, count, distance = unpacked(item["place"])
                     if item["large"]:
                         for at in range(first, first + count):
                             windows[0].append(xxhash.xxh3_128_digest(whole[at : at + WINDOW]))
-                            windows[1].append(id_)
-                            windows[2].append(packed(at, 1, 0, key))
+                            windows[1].append(number)
+                            windows[2].append(packed(at, 1, 0))
                         continue
                     anchor = first + distance
                     for column, value in zip(
                         out,
                         (
                             item["anchor"],
-                            id_,
+                            number,
                             item["place"],
                             whole[first:anchor][::-1],
                             whole[anchor : first + count + WINDOW - 1],
@@ -176,20 +190,21 @@ def _contexts(wanted: DataFrame) -> DataFrame:
                     ):
                         column.append(value)
             n, m = len(out[0]), len(windows[0])
+            owner = pa.array(out[1] + windows[1], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(out[0] + [None] * m, pa.int64()),
-                    pa.array(out[1] + windows[1], pa.int64()),
+                    *(batch.column(name).take(owner) for name in ("last", "id", "row")),
                     pa.array(out[2] + windows[2], pa.int64()),
                     pa.array(out[3] + [None] * m, pa.binary()),
                     pa.array(out[4] + [None] * m, pa.binary()),
                     pa.array([None] * n + windows[0], pa.binary()),
                 ],
-                names=["anchor", "id", "place", "left", "right", "window"],
+                names=["anchor", "last", "id", "row", "place", "left", "right", "window"],
             )
 
-    return wanted.select("text", "id", "items").mapInArrow(
-        run, "anchor long, id long, place long, left binary, right binary, window binary"
+    return wanted.select("text", "last", "id", "row", "items").mapInArrow(
+        run, "anchor long, last boolean, id long, row long, place long, left binary, right binary, window binary"
     )
 
 
@@ -301,10 +316,16 @@ class Suffixes:
 
 
 def repeats_of_groups(
-    group: np.ndarray, id_: np.ndarray, place: np.ndarray, left: list[bytes], right: list[bytes]
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(id, first byte, end byte) with key bits of runs of repeated windows. Groups are sorted."""
-    first, count, distance, key = unpacked(place)
+    group: np.ndarray,
+    last: np.ndarray,
+    id_: np.ndarray,
+    row: np.ndarray,
+    place: np.ndarray,
+    left: list[bytes],
+    right: list[bytes],
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first byte) of repeated windows. Groups are sorted."""
+    first, count, distance = unpacked(place)
     n = len(group)
     sides = []
     for strings in (right, left):
@@ -312,10 +333,10 @@ def repeats_of_groups(
         order, reach = suffixes.verified(suffixes.sort(group), group, strings)
         sides.append((order, reach))
     (order_r, reach_r), (order_l, reach_l) = sides
-    earlier = np.lexsort((place, id_))
+    earlier = np.lexsort((row, place, id_, last))
     rank = np.empty(n, np.int64)
     rank[earlier] = np.arange(n)
-    out_id, out_key, out_first = [], [], []
+    out_row, out_first = [], []
     # a window with `before` bytes left of the anchor needs WINDOW - before bytes from it on
     least, most = distance - count + 1, distance
     new_r, new_l = np.empty(n, np.int64), np.empty(n, np.int64)
@@ -334,29 +355,30 @@ def repeats_of_groups(
         head = np.maximum.accumulate(np.where(same, 0, np.arange(len(rows))))
         window = first + distance - before
         top = rows[head]
-        is_later = same & ((id_[rows] != id_[top]) | (window[rows] != window[top]))
+        own = last[rows] | last[top]  # a row without an id is a document of its own
+        one_document = np.where(own, row[rows] == row[top], id_[rows] == id_[top])
+        is_later = same & (~one_document | (window[rows] != window[top]))
         found = rows[is_later]
-        out_id.append(id_[found])
-        out_key.append(key[found])
+        out_row.append(row[found])
         out_first.append(window[found])
-    if not out_id:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_id), np.concatenate(out_key), np.concatenate(out_first)
+    if not out_row:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(out_row), np.concatenate(out_first)
 
 
-def _joined_windows(id_, key, first):
-    """Windows as maximal runs: id, key, first byte, end byte."""
-    order = np.lexsort((first, key, id_))
-    id_, key, first = id_[order], key[order], first[order]
+def _joined_windows(row, first):
+    """Windows as maximal runs: row, first byte, end byte."""
+    order = np.lexsort((first, row))
+    row, first = row[order], first[order]
     if not len(first):
-        return id_, key, first, first
-    new = np.concatenate([[True], (id_[1:] != id_[:-1]) | (key[1:] != key[:-1]) | (first[1:] > first[:-1] + WINDOW)])
+        return row, first, first
+    new = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] > first[:-1] + WINDOW)])
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(first)) - 1
-    return id_[starts], key[starts], first[starts], first[ends] + WINDOW
+    return row[starts], first[starts], first[ends] + WINDOW
 
 
-_RANGES = "id long, key long, begin long, end long"
+_RANGES = "row long, begin long, end long"
 
 
 def _sorted_repeats(contexts: DataFrame) -> DataFrame:
@@ -364,14 +386,15 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
     number of spans at a time."""
 
     def done(rows):
-        group = np.concatenate([r.column("anchor").to_numpy() for r in rows])
-        id_ = np.concatenate([r.column("id").to_numpy() for r in rows])
-        place = np.concatenate([r.column("place").to_numpy() for r in rows])
+        group, last, id_, row, place = (
+            np.concatenate([r.column(name).to_numpy(zero_copy_only=False) for r in rows])
+            for name in ("anchor", "last", "id", "row", "place")
+        )
         left = [x for r in rows for x in r.column("left").to_pylist()]
         right = [x for r in rows for x in r.column("right").to_pylist()]
-        columns = _joined_windows(*repeats_of_groups(group, id_, place, left, right))
+        columns = _joined_windows(*repeats_of_groups(group, last, id_, row, place, left, right))
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64()) for c in columns], names=["id", "key", "begin", "end"]
+            [pa.array(c, pa.int64()) for c in columns], names=["row", "begin", "end"]
         )
 
     def run(batches):
@@ -395,7 +418,7 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
 
     return (
         contexts.filter("anchor is not null")
-        .select("anchor", "id", "place", "left", "right")
+        .select("anchor", "last", "id", "row", "place", "left", "right")
         .repartition("anchor")
         .sortWithinPartitions("anchor")
         .mapInArrow(run, _RANGES)
@@ -404,27 +427,30 @@ def _sorted_repeats(contexts: DataFrame) -> DataFrame:
 
 def _place_ranges(rows: DataFrame) -> DataFrame:
     """All windows of a place as one range of bytes."""
-    first = F.shiftright("place", 31)
-    count = F.shiftright("place", 24).bitwiseAND(F.lit(127)) + 1
+    first = F.shiftright("place", 14)
+    count = F.shiftright("place", 7).bitwiseAND(F.lit(127)) + 1
     return rows.select(
-        "id",
-        F.col("place").bitwiseAND(F.lit(0x1FFFF)).alias("key"),
+        "row",
         first.alias("begin"),
         (first + count + WINDOW - 1).alias("end"),
     )
 
 
 def _later_than_first(rows: DataFrame, keys: list[str], firsts: DataFrame) -> DataFrame:
-    """Rows that start after the first row of their class (``one``: its id and place)."""
-    start, head = F.shiftright("place", 31), F.shiftright("one.place", 31)
-    return rows.join(firsts, keys).filter(
-        (F.col("id") != F.col("one.id")) | (start != head)
+    """Rows that start after the first row of their class (``one``: its place in the order)."""
+    return rows.join(firsts, keys).filter(~_at_first())
+
+
+def _at_first():
+    """The place of ``one``: the same start in the same row, or in one that repeats its doc_id."""
+    one_document = F.when(F.col("last") | F.col("one.last"), F.col("row") == F.col("one.row")).otherwise(
+        F.col("id") == F.col("one.id")
     )
+    return one_document & (F.shiftright("place", 14) == F.shiftright("one.place", 14))
 
 
-def repeated_ranges(docs: DataFrame, steps: Steps, large_group: int = LARGE_GROUP) -> DataFrame:
-    """id, key, begin, end: byte ranges that repeated windows cover (may overlap)."""
-    keyed = _with_keys(docs)
+def repeated_ranges(keyed: DataFrame, steps: Steps, large_group: int = LARGE_GROUP) -> DataFrame:
+    """row, begin, end: byte ranges that repeated windows cover (may overlap)."""
     every = steps.keep(_all_spans(keyed), "sd_spans")
     shared = steps.keep(
         every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "sd_shared"
@@ -433,31 +459,38 @@ def repeated_ranges(docs: DataFrame, steps: Steps, large_group: int = LARGE_GROU
     steps.drop("sd_spans", "sd_shared")
     classes = steps.keep(
         some.groupBy("anchor", "span").agg(
-            F.min(F.struct("id", "place")).alias("one"), F.count(F.lit(1)).alias("n")
+            F.min(F.struct(*_ORDER)).alias("one"), F.count(F.lit(1)).alias("n")
         ),
         "sd_classes",
     )
     copies = classes.filter("n > 1").select("anchor", "span", "one")
     whole = steps.keep(_place_ranges(_later_than_first(some, ["anchor", "span"], copies)), "sd_whole")
+    # rows that repeat a doc_id hold the first span of a class too: they are compared beside it
+    twins = steps.keep(
+        some.join(copies, ["anchor", "span"])
+        .filter(_at_first() & (F.col("row") != F.col("one.row")))
+        .select("anchor", F.struct(*_ORDER).alias("one")),
+        "sd_twins",
+    )
     steps.drop("sd_some")
+    firsts = classes.select("anchor", "one").unionByName(twins)
     several = (
-        classes.groupBy("anchor")
+        firsts.groupBy("anchor")
         .agg(F.count(F.lit(1)).alias("classes"))
         .filter("classes > 1")
         .select("anchor", (F.col("classes") > large_group).alias("large"))
     )
-    compared = classes.join(several, "anchor").select(
-        F.col("one.id").alias("id"),
-        F.col("one.place").bitwiseAND(F.lit(0x1FFFF)).alias("key"),
+    compared = firsts.join(several, "anchor").select(
+        F.col("one.row").alias("row"),
         F.struct("anchor", F.col("one.place").alias("place"), "large").alias("item"),
     )
     contexts = steps.keep(_contexts(_wanted(keyed, compared)), "sd_contexts")
-    steps.drop("sd_classes")
+    steps.drop("sd_classes", "sd_twins")
     sorted_ = steps.keep(_sorted_repeats(contexts), "sd_sorted")
-    windows = contexts.filter("window is not null").select("window", "id", "place")
+    windows = contexts.filter("window is not null").select("window", *_ORDER)
     first_window = (
         windows.groupBy("window")
-        .agg(F.min(F.struct("id", "place")).alias("one"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct(*_ORDER)).alias("one"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
         .select("window", "one")
     )
@@ -469,15 +502,11 @@ def repeated_ranges(docs: DataFrame, steps: Steps, large_group: int = LARGE_GROU
 def remove_repeats(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     steps = Steps(docs.sparkSession)
-    ranges = repeated_ranges(docs, steps, large_group)
-    per_text = ranges.groupBy("id", "key").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
     rows = docs.select("doc_id").schema
-    keyed = docs.select(
-        "doc_id",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("id"),
-        F.pmod(F.xxhash64("text"), F.lit(1 << 17)).alias("key"),
-        "text",
-    ).join(per_text, ["id", "key"], "left")
+    numbered = steps.keep(_numbered(docs), "sd_rows")
+    ranges = repeated_ranges(numbered, steps, large_group)
+    per_text = ranges.groupBy("row").agg(F.collect_set(F.struct("begin", "end")).alias("ranges"))
+    keyed = numbered.select("doc_id", "row", "text").join(per_text, "row", "left")
 
     def run(batches):
         for batch in batches:

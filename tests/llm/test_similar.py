@@ -7,6 +7,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from kerbside.llm import ann_forest, epsilon_join, near_dups, suffix_dedup
@@ -131,6 +132,30 @@ def test_repeated_strings(spark, large_group):
     assert sorted(map(tuple, found), key=repr) == sorted(expected_removal(docs.collect()), key=repr)
 
 
+@pytest.mark.parametrize("large_group", [4_096, 2])
+def test_rows_without_an_id_are_documents_of_their_own(spark, large_group):
+    head = prose(77, 30)
+    rows = [(None, f"{head} {prose(1_000 + i, 25)}") for i in range(600)]  # the head at one place in all
+    rows += [(None, prose(5_000, 60))] * 3 + [(2**63 - 1, f"{head} {prose(9, 40)}"), (5, f"{prose(8, 40)} {head}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.remove_repeats(docs, large_group).collect()
+    # the order of rows without an id is that of their hashes
+    hashes = {r.text: r.h for r in docs.selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, hashes[r[1]] if r[0] is None else r[0]))
+    distinct = [Row(doc_id=i, text=t) for i, (_, t) in enumerate(order)]
+    expected = [(order[i][0], *rest) for i, *rest in expected_removal(distinct)]
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
+
+
+def test_rows_that_repeat_an_id_lose_what_an_earlier_document_holds(spark):
+    passage = prose(70, 45)
+    rows = [(1, f"{prose(1, 20)} {passage[30:]}")]
+    rows += [(2, f"{passage} {prose(2, 20)}"), (2, f"{passage} {prose(3, 20)}"), (2, f"{passage} {prose(2, 20)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = suffix_dedup.remove_repeats(docs).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(expected_removal(docs.collect()), key=repr)
+
+
 def test_no_strings(spark):
     assert suffix_dedup.remove_repeats(nothing(spark)).count() == 0
 
