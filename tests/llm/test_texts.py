@@ -376,3 +376,17 @@ def test_templates_go_by_number_at_every_size_of_a_host(spark):
             assert r.text.startswith(f"own {own}\nplain {own}") and not re.search("first|tariff|logo|Read", r.text)
         else:
             assert r.text == f"Shared passage\nusual\nown {own}"
+
+
+def test_last_stage_decodes_its_ids(spark):
+    import corpus_pipeline
+
+    docs = documents(spark)
+    found = corpus_pipeline.byte_bpe_stage(spark, docs, "")
+    assert not {"text", "decoded"} & set(found.columns)
+    plain = whole_encoding_once()
+    expected = Counter((r.doc_id, tuple(plain.encode_ordinary(r.text or "")),
+                        hashlib.sha256((r.text or "").encode()).hexdigest(), True) for r in docs.collect())
+    rows = found.collect()
+    assert Counter((r.doc_id, tuple(r.ids), r.decoded_sha256, r.is_text) for r in rows) == expected
+    assert all(r.n_tokens == len(r.ids) for r in rows)
