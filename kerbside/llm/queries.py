@@ -12,6 +12,7 @@ from kerbside.llm import (
     context_trees,
     divergence,
     epsilon_join,
+    language,
     mixing,
     near_dups,
     page_text,
@@ -73,6 +74,11 @@ def op11_turns(spark: SparkSession, folder: str) -> DataFrame:
     return turns.repair_digests(table(spark, folder, "conversations"))
 
 
+def op12_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.audit(table(spark, folder, "documents"))
 
@@ -89,6 +95,7 @@ REGISTRY = {
     "op9_ann_forest": op9_ann_forest,
     "op10_toxicity": op10_toxicity,
     "op11_turns": op11_turns,
+    "op12_language": op12_language,
     "op13_divergence": op13_divergence,
 }
 

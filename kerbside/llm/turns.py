@@ -280,6 +280,12 @@ def _per_conversation(rows: DataFrame) -> DataFrame:
     )
 
 
+def _most_nodes(conversations: DataFrame, size: int) -> int:
+    """The largest number of blocks of ``size`` rows that a conversation lies in."""
+    spans = F.expr(f"last_n div {size} - first_n div {size} + 1")
+    return conversations.agg(F.max(spans)).first()[0] or 0
+
+
 _NODE = "costs array<long>, ranks array<int>, head string, tail string, illegal long"
 
 
@@ -399,11 +405,10 @@ class Repair:
         self._rows = _numbered(rows, steps, block)
         per_conversation = steps.keep(_per_conversation(self._rows), "turns_conversations")
         blocks = steps.keep(_blocks(self._rows, per_conversation), "turns_blocks")
-        levels = [blocks]
-        most = per_conversation.agg(F.max(F.expr(f"last_n div {block} - first_n div {block} + 1"))).first()[0]
-        while most is not None and most > fan:
+        levels, size = [blocks], block
+        while _most_nodes(per_conversation, size) > fan:
             levels.append(steps.keep(_folded_blocks(levels[-1], fan), f"turns_level_{len(levels)}"))
-            most = -(-most // fan) + 1
+            size *= fan
         top = steps.keep(_folded_blocks(levels[-1], None), "turns_top")
         picked = top.select("conv", "b", F.lit(ACCEPTED).alias("pick"))  # from state 0
         for nodes in [top, *reversed(levels[1:])]:
