@@ -4,15 +4,18 @@
 (at most ``FIT_VECTORS`` vectors, those of the smallest hash). Every vector of the table is then
 put into its leaf of every tree. A query walks all trees through one shared priority queue, whose
 priority is the smallest margin by which the way to a node misses the query, and takes leaves
-until they hold ``PROBE`` of all entries. Leaves are kept as matrices of bounded size; queries
+until they hold ``PROBE`` of all entries, and as many different vectors as there are answers to give
+(its own is one more); on a table with fewer it takes all of them. Leaves are kept as matrices of bounded size; queries
 that visit a leaf meet it in chunks of bounded size, and the exact cosine in double precision
 ranks all candidates.
 
 Equal vectors are one entry that keeps its smallest ids, as many as could ever be returned, so a
 vector with very many copies is one candidate, and no answer is lost.
 
-Vectors that are null, empty, zero or hold null or non-finite components take no part; vectors of
-another length than the most common one of the sample neither. Ties go to the smaller id. Rows
+Vectors that are null, empty, zero or hold null or non-finite components take no part. Vectors are compared
+with those of their own length. All lengths share the trees, where shorter vectors count as zero in what they
+lack, and parts beyond the longest sampled vector play no part in choosing a side; leaves are kept by length.
+Ties go to the smaller id. Rows
 that repeat a vec_id are different vectors, and a query never finds rows of its own id.
 """
 
@@ -64,18 +67,19 @@ class Forest:
             out[:, tree] = node - self.inner
         return out
 
-    def visits(self, vector: np.ndarray, held: np.ndarray, enough: float) -> list[tuple[int, int]]:
-        """(tree, leaf) best first, until the leaves hold ``enough`` entries. held: trees x leaves."""
+    def visits(self, vector: np.ndarray, held: np.ndarray, enough: float, least: int) -> list[tuple[int, int]]:
+        """(tree, leaf) best first, until the leaves hold ``enough`` entries, and those of one tree at least
+        ``least``, which are as many vectors, since a tree holds each once. held: trees x leaves."""
         margins = self.planes @ vector - self.cuts
         queue = [(-np.inf, tree, 0) for tree in range(len(self.planes))]
-        found, seen = [], 0
-        while queue and seen < enough:
+        found, seen = [], np.zeros(len(self.planes), np.int64)
+        while queue and (seen.sum() < enough or seen.max() < least):
             miss, tree, node = heapq.heappop(queue)
             if node >= self.inner:
                 leaf = node - self.inner
                 if held[tree, leaf]:
                     found.append((tree, leaf))
-                    seen += held[tree, leaf]
+                    seen[tree] += held[tree, leaf]
                 continue
             margin = margins[tree, node]
             # the priority of a way is its smallest margin; the heap gives the smallest miss first
@@ -84,14 +88,26 @@ class Forest:
         return found
 
 
+def _routed(column: pa.Array, width: int) -> np.ndarray:
+    """Unit vectors of any lengths as rows of ``width`` components, for the way through the trees."""
+    lengths = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), width))
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        own = unit(matrix(column.take(pa.array(rows))))[:, :width]
+        out[rows, : own.shape[1]] = own
+    return out
+
+
 def _entries(classes: DataFrame, forest) -> DataFrame:
-    """node, tree, leaf for every vector and tree."""
+    """Tree and leaf of every vector, for every tree."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaves = forest.value.leaves(unit(matrix(batch.column("embedding"))))
+            own = forest.value
+            leaves = own.leaves(_routed(batch.column("embedding"), own.planes.shape[2]))
             trees = leaves.shape[1]
             rows = np.repeat(np.arange(len(leaves)), trees)
             part = batch.take(pa.array(rows))
@@ -110,15 +126,19 @@ def _entries(classes: DataFrame, forest) -> DataFrame:
     return classes.mapInArrow(run, schema)
 
 
-def _visited(queries: DataFrame, forest, held: np.ndarray, enough: float) -> DataFrame:
+def _visited(queries: DataFrame, forest, held: dict[int, np.ndarray], probe: float, k: int) -> DataFrame:
+    """held: by length of the vectors, the entries of each tree and leaf."""
+
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            vectors = unit(matrix(batch.column("embedding")))
+            own = forest.value
+            vectors = _routed(batch.column("embedding"), own.planes.shape[2])
             rows, trees, leaves = [], [], []
-            for row, vector in enumerate(vectors):
-                for tree, leaf in forest.value.visits(vector, held, enough):
+            for row, (vector, size) in enumerate(zip(vectors, batch.column("size").to_pylist())):
+                entries = held[size]
+                for tree, leaf in own.visits(vector, entries, probe * entries.sum(), k + 1):
                     rows.append(row)
                     trees.append(tree)
                     leaves.append(leaf)
@@ -146,9 +166,12 @@ def _ranked(k: int):
                 scores = asked @ held.T
                 n = min(k + 1, scores.shape[1])  # one more, as the query's own vector may be there
                 least = np.partition(scores, -n, axis=1)[:, -n]
-                for q, v in zip(*np.nonzero(scores >= least[:, None])):
+                # a product rounds by the shape of its blocks: a little more is taken, and scored pair by pair
+                places_q, places_v = np.nonzero(scores >= least[:, None] - 1e-12)
+                exact = (asked[places_q] * held[places_v]).sum(axis=1)
+                for q, v, score in zip(places_q, places_v, exact.tolist()):
                     out.append((row["queries"][q]["query_id"], row["queries"][q]["node"],
-                                row["vectors"][v]["node"], row["vectors"][v]["ids"], float(scores[q, v])))
+                                row["vectors"][v]["node"], row["vectors"][v]["ids"], score))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([o[0] for o in out], pa.int64()),
@@ -201,21 +224,22 @@ def nearest(
     schema = "query_id long, rank int, vec_id long, score double"
     if not sample:
         return spark.createDataFrame([], schema)
-    lengths = [len(v) for v in sample]
-    width = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    fitted = np.array([v for v in sample if len(v) == width], float)
-    forest = spark.sparkContext.broadcast(Forest(unit(fitted)))
-    one_width = F.size("embedding") == width
-    entries = steps.keep(_entries(classes.filter(one_width), forest), "ann_entries")
-    held = np.zeros((TREES, 2**DEPTH), np.int64)
-    for r in entries.groupBy("tree", "leaf").count().collect():  # at most TREES * 2**DEPTH rows
-        held[r["tree"], r["leaf"]] = r["count"]
-    queries = keyed.filter(F.col("asks") & one_width).select(F.col("vec_id").alias("query_id"), "node", "embedding")
-    visits = steps.keep(_visited(queries, forest, held, probe * held.sum()), "ann_visits")
-    blocks = _chunked(entries, ["tree", "leaf"], LEAF_ROWS, "block", ["node", "ids", "embedding"], "vectors")
-    asked = _chunked(visits, ["tree", "leaf"], QUERY_ROWS, "chunk", ["query_id", "node", "embedding"], "queries")
+    width = max(len(v) for v in sample)
+    fitted = _routed(pa.array(sample, pa.list_(pa.float64())), width)
+    forest = spark.sparkContext.broadcast(Forest(fitted))
+    size = F.size("embedding").alias("size")
+    entries = steps.keep(_entries(classes.select("*", size), forest), "ann_entries")
+    held: dict[int, np.ndarray] = {}
+    # at most TREES * 2**DEPTH rows for each length
+    for r in entries.groupBy("size", "tree", "leaf").count().collect():
+        held.setdefault(r["size"], np.zeros((TREES, 2**DEPTH), np.int64))[r["tree"], r["leaf"]] = r["count"]
+    queries = keyed.filter("asks").select(F.col("vec_id").alias("query_id"), "node", "embedding", size)
+    visits = steps.keep(_visited(queries, forest, held, probe, k), "ann_visits")
+    leaf = ["size", "tree", "leaf"]
+    blocks = _chunked(entries, leaf, LEAF_ROWS, "block", ["node", "ids", "embedding"], "vectors")
+    asked = _chunked(visits, leaf, QUERY_ROWS, "chunk", ["query_id", "node", "embedding"], "queries")
     found = (
-        asked.join(blocks, ["tree", "leaf"])
+        asked.join(blocks, leaf)
         .select("queries", "vectors")
         .mapInArrow(
             _ranked(k), "query_id long, query_node string, node string, ids array<long>, score double"

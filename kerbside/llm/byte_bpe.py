@@ -29,6 +29,8 @@ from kerbside.llm.common import text_slices
 PIECE_CHARS = 1 << 16
 #: A piece above so many characters holds no early boundary; its matches are taken one by one.
 LONGEST_PIECE = 1 << 18
+#: So many id lists are decoded at a time.
+DECODED_ROWS = 64
 
 _BOUNDARY = regex.compile(r"(?<=[A-Za-z0-9])[ \n]")
 _loaded: dict[tuple[str, str], Codec] = {}
@@ -85,6 +87,14 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 ENCODED = T.ArrayType(T.IntegerType())
 
 
+def _lists(parts: list[list[np.ndarray]]) -> pa.Array:
+    """One list of ids per text, from its parts, without Python numbers."""
+    sizes = [sum(map(len, own)) for own in parts]
+    flat = [part for own in parts for part in own]
+    values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(values, pa.int32()))
+
+
 def encode(
     docs: DataFrame,
     ranks_path: str,
@@ -102,10 +112,8 @@ def encode(
         for batch in batches:
             for first, texts in text_slices(batch, text):
                 part = batch.slice(first, len(texts)).select(rest)
-                lists = [[i for chunk in own.encode(t) for i in chunk] for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*rest, ids]
-                )
+                lists = _lists([[np.asarray(c, np.int32) for c in own.encode(t)] for t in texts])
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*rest, ids])
 
     return docs.mapInArrow(run, schema)
 
@@ -120,15 +128,58 @@ def decode(
     def run(batches):
         own = codec(ranks_path, pattern)
         for batch in batches:
-            lists = batch.column(ids)
-            decoded = [own.decode(x.as_py() or []) for x in lists]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.select(rest).columns, pa.array(decoded, pa.binary())], names=[*rest, out]
-            )
+            for first in range(0, batch.num_rows, DECODED_ROWS):
+                part = batch.slice(first, DECODED_ROWS)
+                decoded = [own.decode(x.as_py() or []) for x in part.column(ids)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.select(rest).columns, pa.array(decoded, pa.binary())], names=[*rest, out]
+                )
 
     return rows.mapInArrow(run, schema)
 
 
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "ids"
+) -> DataFrame:
+    """The ids in place of each text, their number ``n_tokens``, the digest ``decoded_sha256`` of the bytes that
+    they decode to, and ``is_text``, whether these are the text's. One pass encodes and decodes, part by part,
+    so a worker holds one vocabulary and the ids of a run of texts."""
+    added = (ids, "n_tokens", "decoded_sha256", "is_text")
+    rest = [name for name in docs.columns if name != text and name not in added]
+    schema = T.StructType(
+        [*(docs.schema[n] for n in rest), T.StructField(ids, ENCODED)]
+        + [T.StructField("n_tokens", T.LongType()), T.StructField("decoded_sha256", T.StringType())]
+        + [T.StructField("is_text", T.BooleanType())]
+    )
+
+    def run(batches):
+        own = codec(ranks_path, pattern)
+        for batch in batches:
+            for first, texts in text_slices(batch, text):
+                parts, digests, same = [], [], []
+                for whole in texts:
+                    held, decoded = [], hashlib.sha256()
+                    for part in own.encode(whole):
+                        held.append(np.asarray(part, np.int32))
+                        decoded.update(own.decode(part))
+                    parts.append(held)
+                    digests.append(decoded.hexdigest())
+                    same.append(hashlib.sha256(whole.encode()).hexdigest() == digests[-1])
+                lists = _lists(parts)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *batch.slice(first, len(texts)).select(rest).columns,
+                        lists,
+                        pa.array(np.diff(lists.offsets.to_numpy()), pa.int64()),
+                        pa.array(digests, pa.string()),
+                        pa.array(same, pa.bool_()),
+                    ],
+                    names=[*rest, *added],
+                )
+
+    return docs.mapInArrow(run, schema)
+
+
 def round_trip_digests(
     docs: DataFrame, ranks_path: str, pattern: str, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:

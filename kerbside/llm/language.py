@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kerbside.llm.common import let_workers_import, remainder, text_slices
+from kerbside.llm.common import Steps, let_workers_import, remainder, text_slices
 
 HOLD_OUT = (5, 0)  # ids with this remainder of crc32 are never learnt from
 UNKNOWN = "und"
@@ -157,13 +157,17 @@ def document_counts(rows: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray
     return held, n
 
 
-def sample(rows: DataFrame, limit: int = FIT_ROWS) -> DataFrame:
+def sample(rows: DataFrame, steps: Steps, limit: int = FIT_ROWS) -> DataFrame:
     """lang, text: at most ``limit`` different texts per language, those of smallest hash."""
     key = F.xxhash64("text").alias("key")
-    order = Window.partitionBy("lang").orderBy("key")
+    keys = steps.keep(rows.select("lang", key).distinct(), "language_keys")
+    counts = keys.groupBy("lang").agg(F.count(F.lit(1)).alias("held"))
+    # a bound on the hash that about twice as many fall under, so that no task sorts a whole language
+    place = F.shiftrightunsigned("key", 11)
+    order = Window.partitionBy("lang").orderBy(place, "key")
     chosen = (
-        rows.select("lang", key)
-        .distinct()
+        keys.join(F.broadcast(counts), "lang")  # a row per language
+        .filter(place.cast("double") * F.col("held") <= 2.0 * limit * 2.0**53)
         .withColumn("place", F.row_number().over(order))
         .filter(F.col("place") <= limit)
         .select("lang", "key")
@@ -265,7 +269,8 @@ def fit(
     rows = training_rows(docs, hold_out)
     held, n = document_counts(rows, buckets)
     idf = 1 + np.log((1 + n) / (1 + held))
-    found = _centroids(_vectors(sample(rows, limit), idf), buckets).orderBy("lang", "cluster").collect()
+    chosen = sample(rows, Steps(docs.sparkSession), limit)
+    found = _centroids(_vectors(chosen, idf), buckets).orderBy("lang", "cluster").collect()
     kept = _kept(found)
     return Model(
         [r.lang for r in kept],

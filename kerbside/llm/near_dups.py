@@ -36,7 +36,7 @@ from kerbside.llm.text_hashes import mixed, shingles, word_hashes
 WORD = r"[^\x20\x09-\x0D]"
 HASHES, BITS, BANDS = 128, 4, 40
 SMALL_BAND = 8
-BLOCK_CLASSES = 128
+BLOCK_CLASSES, BLOCK_SHINGLES = 128, 1 << 17
 MISS = 1.5e-7
 
 _PER_LONG = 64 // BITS
@@ -190,11 +190,10 @@ def _linked(common: Column, size_a: Column, size_b: Column, percent: int) -> Col
 def _block_links(percent: int):
     """For mapInArrow: links between members of different components of two blocks."""
 
-    def matrix(block):
-        sizes = np.array([len(m["shingles"]) for m in block])
-        return sizes, np.concatenate([np.asarray(m["shingles"], np.int64) for m in block]), np.repeat(
-            np.arange(len(block)), sizes
-        )
+    def matrix(block: pa.StructArray):
+        sets = block.field("shingles")
+        sizes = np.diff(sets.offsets.to_numpy())
+        return sizes, sets.flatten().to_numpy(), np.repeat(np.arange(len(block)), sizes)
 
     def common(a, b, rows_a, rows_b) -> np.ndarray:
         shared = np.intersect1d(a, b)
@@ -214,14 +213,15 @@ def _block_links(percent: int):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                left, right = row["left"], row["right"]
+            for row in range(batch.num_rows):  # one pair of blocks at a time, as Arrow arrays
+                left, right = (batch.column(side)[row].values for side in ("left", "right"))
                 (size_a, a, rows_a), (size_b, b, rows_b) = matrix(left), matrix(right)
+                name_a, name_b = (side.field("component").to_pylist() for side in (left, right))
                 both = common(a, b, rows_a, rows_b)
                 linked = 100 * both >= percent * (size_a[:, None] + size_b[None, :] - both)
                 found = {}
                 for i, j in zip(*np.nonzero(linked)):
-                    pair = (left[i]["component"], right[j]["component"])
+                    pair = (name_a[i], name_b[j])
                     if pair[0] != pair[1]:
                         found[min(pair), max(pair)] = True
                 yield pa.RecordBatch.from_arrays(
@@ -233,15 +233,18 @@ def _block_links(percent: int):
 
 def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Blocks of the members (group, component, node): a component with many members in a group
-    has blocks of its own, all others of the group are mixed."""
-    counts = members.groupBy("group", "component").agg(F.count(F.lit(1)).alias("n"))
-    many = counts.filter(F.col("n") >= BLOCK_CLASSES).select("group", "component", F.col("n").alias("own"))
-    rest = counts.filter(F.col("n") < BLOCK_CLASSES).groupBy("group").agg(F.sum("n").alias("others"))
+    has blocks of its own, all others of the group are mixed. A block has about ``BLOCK_CLASSES``
+    members, and fewer where these have more than ``BLOCK_SHINGLES`` shingles together."""
+    share = 1 / BLOCK_CLASSES + F.size("shingles") / BLOCK_SHINGLES  # of a block
+    shares = sets.select("node", share.alias("share"))
+    counts = members.join(shares, "node").groupBy("group", "component").agg(F.sum("share").alias("n"))
+    many = counts.filter(F.col("n") >= 1).select("group", "component", F.col("n").alias("own"))
+    rest = counts.filter(F.col("n") < 1).groupBy("group").agg(F.sum("n").alias("others"))
     placed = (
         members.join(many, ["group", "component"], "left")
         .join(rest, "group", "left")
         .withColumn("part", F.when(F.col("own").isNotNull(), F.col("component")))
-        .withColumn("n_blocks", F.ceil(F.coalesce("own", "others") / BLOCK_CLASSES))
+        .withColumn("n_blocks", F.ceil(F.coalesce("own", "others")))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("n_blocks")))
     )
     return (

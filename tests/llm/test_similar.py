@@ -233,3 +233,23 @@ def test_forest(spark):
     hits = sum(r.score >= found[r.query_id][-1][1] - 1e-12 for r in some)
     assert hits >= 0.9 * sum(map(len, found.values()))
     assert ann_forest.nearest(vectors(spark, True), asked).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 4, 6, 12, 20])
+def test_forest_on_small_tables(spark, n):
+    """All candidates where there are at most five, else five, among vectors of the same length."""
+    draw = random.Random(n)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(3 if i % 5 == 4 else 6)]) for i in range(n)]
+    rows += [(100 + i, rows[0][1]) for i in range(2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = defaultdict(list)
+    for r in ann_forest.nearest(frame, F.lit(True)).orderBy("query_id", "rank").collect():
+        found[r.query_id].append((r.rank, r.vec_id, r.score))
+    for vec_id, vector in rows:
+        others = [(-cosine(vector, v), i) for i, v in rows if i != vec_id and len(v) == len(vector)]
+        mine = found[vec_id]
+        assert [r for r, _, _ in mine] == list(range(1, min(5, len(others)) + 1))
+        known = {i: -s for s, i in others}
+        assert all(s == pytest.approx(known[i], abs=1e-12) for _, i, s in mine)
+        if len(others) <= 5:
+            assert [i for _, i, _ in mine] == [i for _, i in sorted((round(s, 12), i) for s, i in others)]
