@@ -49,14 +49,7 @@ def byte_bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token ids of each text and their number in place of the text; the digest of the bytes that the ids
     decode to, and whether these are the text's own."""
     let_workers_import(spark)
-    encoded = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, ids="ids")
-    decoded = byte_bpe.decode(encoded, RANKS, public_tokenizers.PATTERN, ids="ids", out="decoded")
-    return (
-        decoded.withColumn("n_tokens", F.size("ids").cast("long"))
-        .withColumn("decoded_sha256", F.sha2("decoded", 256))
-        .withColumn("is_text", F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary"))
-        .drop("text", "decoded")
-    )
+    return byte_bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, ids="ids")
 
 
 STAGES = [
