@@ -4,9 +4,11 @@ instead of tiles."""
 
 from __future__ import annotations
 
-from checks.queries import SIGN_QUERIES, SPOT_QUERIES
+from checks.queries import CLUSTER_ZOOMS, SIGN_QUERIES, SPOT_QUERIES
 from kerbside.functions import text_ranges as words
 from kerbside.functions.grid import Grid
+from kerbside.operators.clusters import RADIUS
+from kerbside.operators.radius_clusters import SEED
 from kerbside.sources import star_schema as inputs
 
 
@@ -479,6 +481,67 @@ def _cluster(source: str, zooms) -> str:
     )
 
 
+def _radius_clusters(source: str, id_column: str, zooms) -> str:
+    """Rounds over all undecided points: those that come before every undecided one around them are centres.
+    Squares as wide as the radius serve only to find the points around."""
+    parts, below = [], f"SELECT {id_column}::BIGINT AS id, longitude, latitude, 1 AS n FROM {source}"
+    for zoom in range(16, min(zooms) - 1, -1):
+        world, angle = 256.0 * 2**zoom, "radians(latitude)"
+        mercator = f"ln((1 + sin({angle})) / (1 - sin({angle}))) / 2"
+        parts.append(f"""
+pixels{zoom} AS (
+  SELECT *, md5('{SEED}:' || id) AS mark, (longitude + 180) / 360 * {world} AS x,
+         (0.5 - {mercator} / (2 * pi())) * {world} AS y,
+         floor((longitude + 180) / 360 * {world} / {RADIUS}) AS cx,
+         floor((0.5 - {mercator} / (2 * pi())) * {world} / {RADIUS}) AS cy
+  FROM ({below})),
+around{zoom} AS (
+  SELECT a.id, b.id AS other, (b.mark, b.id) < (a.mark, a.id) AS earlier, b.mark AS other_mark
+  FROM (SELECT *, unnest([-1, 0, 1]) AS dx FROM pixels{zoom}) a
+  JOIN pixels{zoom} b ON a.cx + a.dx = b.cx AND b.cy BETWEEN a.cy - 1 AND a.cy + 1
+   AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {RADIUS * RADIUS}
+  WHERE a.id <> b.id),
+rounds{zoom} AS (
+  SELECT id, false AS centre FROM pixels{zoom}
+  UNION ALL
+  (WITH undecided AS (SELECT id FROM rounds{zoom} WHERE NOT centre),
+        held AS (SELECT r.id, r.other, r.earlier FROM around{zoom} r
+                 JOIN undecided u ON u.id = r.id JOIN undecided v ON v.id = r.other),
+        chosen AS (SELECT id FROM undecided WHERE id NOT IN (SELECT id FROM held WHERE earlier)),
+        gone AS (SELECT h.id FROM held h JOIN chosen c ON c.id = h.other)
+   SELECT id, true FROM chosen
+   UNION ALL
+   SELECT id, false FROM undecided
+   WHERE id NOT IN (SELECT id FROM chosen) AND id NOT IN (SELECT id FROM gone))),
+owners{zoom} AS (
+  SELECT p.id, p.n, CASE WHEN c.id IS NOT NULL THEN p.id ELSE near.owner END AS owner
+  FROM pixels{zoom} p LEFT JOIN (SELECT id FROM rounds{zoom} WHERE centre) c ON c.id = p.id
+  LEFT JOIN (SELECT r.id, arg_min(r.other, (r.other_mark, r.other)) AS owner
+             FROM around{zoom} r JOIN rounds{zoom} s ON s.id = r.other AND s.centre GROUP BY r.id) near
+    ON near.id = p.id),
+level{zoom} AS (
+  SELECT o.owner AS id, p.longitude, p.latitude, sum(o.n)::BIGINT AS n, count(*) AS n_members
+  FROM owners{zoom} o JOIN pixels{zoom} p ON p.id = o.owner GROUP BY ALL)""")
+        below = f"SELECT id, longitude, latitude, n FROM level{zoom}"
+    chosen = "\nUNION ALL\n".join(
+        f"SELECT {z}::INT AS zoom, id AS centre_id, longitude, latitude, n AS n_points, n_members FROM level{z}"
+        for z in zooms
+    )
+    return ",".join(parts) + "\n" + chosen
+
+
+def _signatures(passed: str) -> str:
+    """Distinct time signatures of the saved filters, each with its codes."""
+    ends = ", ".join(
+        f"CASE WHEN {n}_start IS NOT NULL AND {n}_end IS NOT NULL THEN {n}_{e} END::{kind} AS {n}_{e}"
+        for n, kind in (("hour", "DOUBLE"), ("day", "BIGINT"), ("month", "BIGINT"))
+        for e in ("start", "end")
+    )
+    names = [f"q.{n}_{e}" for n in ("hour", "day", "month") for e in ("start", "end")]
+    return f"""SELECT {', '.join(names)}, q.not_in_range, s.code_id
+        FROM (SELECT DISTINCT {ends}, not_in_range FROM whole WHERE show_signs) q, codes s WHERE {passed}"""
+
+
 def _json_text(column: str) -> str:
     return f"coalesce(to_json({column})::VARCHAR, 'null')"
 
@@ -605,6 +668,13 @@ def oracles() -> dict[str, str]:
                 OR NOT {_paid(_COLUMN_ENDS['hour'], _COLUMN_ENDS['day'], 'q.place_id')} AS is_currently_free
               FROM (SELECT q.*, s.* FROM (SELECT * FROM whole WHERE show_spots) q
                     JOIN places s ON {_BOX_MATCH}) q""",
+        "signature_codes": _with(PARSED, _FILTERS)
+        + _signatures(f"({_in_force(_COLUMN_ENDS, 's.code_rpa', False)}) <> q.not_in_range"),
+        "signature_codes_strict": _with(PARSED, _FILTERS)
+        + _signatures(f"({_in_force(_COLUMN_ENDS, 's.code_rpa', True)}) <> q.not_in_range"),
+        "signature_codes_all_mode": _with(PARSED, _FILTERS)
+        + _signatures(_all_pass(_COLUMN_ENDS, "s.code_rpa", "q.not_in_range")),
+        "cluster_radius": "WITH RECURSIVE " + PLACES + "," + _radius_clusters("places", "place_id", CLUSTER_ZOOMS),
         "cluster_grid": _ALL_SIGNS + _cluster("signs", (10, 13, 16)),
         "cluster_spots": _with(PLACES) + _cluster("places", (12, 17)),
         "geojson_features": _ALL_SIGNS
@@ -654,6 +724,7 @@ def oracles() -> dict[str, str]:
                            count(*) FILTER (WHERE is_currently_free) AS n_free
                     FROM {_answered_spots('spot_query_free')})""",
     }
+    result["filter_sign_query_indexed"] = result["filter_sign_query"]
     for name in SIGN_QUERIES:
         result[name] = _ALL_SIGNS + f"SELECT {_SIGN_COLUMNS} " + _sign_rows(name)
     for name in SPOT_QUERIES:

@@ -14,6 +14,8 @@ from kerbside.functions import text_ranges as text
 from kerbside.functions.intervals import within
 from kerbside.operators import clusters, viewport
 from kerbside.operators.numbering import number_rows
+from kerbside.operators.radius_clusters import radius_clusters
+from kerbside.operators.time_index import TimeIndex
 from kerbside.plans import build as B
 from kerbside.plans import display, markers, report, saved_filters
 from kerbside.plans import signs as S
@@ -337,13 +339,7 @@ SIGN_QUERIES: dict[str, tuple[SignQuery, dict]] = {
 
 
 def _sign_query(name: str) -> Query:
-    asked, options = SIGN_QUERIES[name]
-
-    def run(spark, folder):
-        tables = curated_tables(spark, folder)
-        return S.query_signs(tables.signs, tables.codes, asked, **options)
-
-    return run
+    return lambda spark, folder: _asked_signs(spark, folder, name)
 
 
 for _name in SIGN_QUERIES:
@@ -365,11 +361,18 @@ def _spot_rows(answered: DataFrame) -> DataFrame:
     return described.drop("periods", "part_no", "n_parts")
 
 
-def _spot_query(name: str) -> Query:
-    def run(spark, folder):
-        return _spot_rows(SP.query_spots(curated_tables(spark, folder).spots, SPOT_QUERIES[name]))
+def _asked_signs(spark, folder, name: str) -> DataFrame:
+    tables, (asked, options) = curated_tables(spark, folder), SIGN_QUERIES[name]
+    return S.query_signs(tables.signs_near(asked.bbox), tables.codes, asked, **options)
+
+
+def _asked_spots(spark, folder, name: str) -> DataFrame:
+    asked = SPOT_QUERIES[name]
+    return SP.query_spots(curated_tables(spark, folder).spots_near(asked.bbox), asked)
 
-    return run
+
+def _spot_query(name: str) -> Query:
+    return lambda spark, folder: _spot_rows(_asked_spots(spark, folder, name))
 
 
 for _name in SPOT_QUERIES:
@@ -378,9 +381,7 @@ for _name in SPOT_QUERIES:
 
 @query
 def spot_query_paid(spark, folder):
-    answered = SP.query_spots(
-        curated_tables(spark, folder).spots, SPOT_QUERIES["spot_query_free"]
-    )
+    answered = _asked_spots(spark, folder, "spot_query_free")
     paid = SP.split_spots(answered)[1]
     return paid.where("part_no = 0").select("place_id", "longitude", "latitude")
 
@@ -448,6 +449,39 @@ def filter_sign_query(spark, folder):
     return S.query_signs_batch(asked, tables.signs, tables.codes).select("query_id", "sign_id")
 
 
+def _filter_signatures(spark, folder, mode: str = "any", strict: bool = False) -> DataFrame:
+    """The codes of each time signature among the saved filters."""
+    decoded = saved_filters.decode_filters(inputs.filter_strings(spark, folder))
+    index = TimeIndex(curated_tables(spark, folder).codes)
+    return index.codes_in(saved_filters.to_sign_queries(decoded), mode, strict)
+
+
+@query
+def signature_codes(spark, folder):
+    return _filter_signatures(spark, folder)
+
+
+@query
+def signature_codes_all_mode(spark, folder):
+    return _filter_signatures(spark, folder, mode="all")
+
+
+@query
+def signature_codes_strict(spark, folder):
+    return _filter_signatures(spark, folder, strict=True)
+
+
+@query
+def filter_sign_query_indexed(spark, folder):
+    """Saved filters answered by the batch sign query, each time signature looked up once."""
+    tables = curated_tables(spark, folder)
+    decoded = saved_filters.decode_filters(inputs.filter_strings(spark, folder))
+    asked = saved_filters.to_sign_queries(decoded)
+    index = TimeIndex(tables.codes)
+    found = S.query_signs_batch(asked, tables.signs, tables.codes, time_index=index)
+    return found.select("query_id", "sign_id")
+
+
 @query
 def filter_spot_query(spark, folder):
     decoded = saved_filters.decode_filters(inputs.filter_strings(spark, folder))
@@ -476,19 +510,27 @@ def cluster_spots(spark, folder):
     return clusters.cluster_points(spots, (12, 17))
 
 
+CLUSTER_ZOOMS = (14, 16)
+
+
+@query
+def cluster_radius(spark, folder):
+    """Spots clustered within the radius of a centre, from the finest level up."""
+    spots = curated_tables(spark, folder).spots.where("part_no = 0")
+    numbered = spots.withColumn("spot", F.col("place_id").cast("bigint"))
+    return radius_clusters(numbered, "spot", CLUSTER_ZOOMS)
+
+
 @query
 def geojson_features(spark, folder):
-    tables = curated_tables(spark, folder)
-    found = S.query_signs(tables.signs, tables.codes, SIGN_QUERIES["sign_query_time"][0])
+    found = _asked_signs(spark, folder, "sign_query_time")
     return found.select("sign_id", geojson.sign_feature().alias("feature"))
 
 
 @query
 def geojson_spot_features(spark, folder):
     """Spot features written one per line and read back, one row per description."""
-    answered = SP.query_spots(
-        curated_tables(spark, folder).spots, SPOT_QUERIES["spot_query_free"]
-    )
+    answered = _asked_spots(spark, folder, "spot_query_free")
     path = new_path(spark, "features")
     geojson.write_features(answered, geojson.spot_feature(), path)
     back = geojson.read_features(spark, path, geojson.SPOT_PROPERTIES)
@@ -498,8 +540,7 @@ def geojson_spot_features(spark, folder):
 @query
 def geojson_read(spark, folder):
     """Sign features written one per line and read back."""
-    tables = curated_tables(spark, folder)
-    found = S.query_signs(tables.signs, tables.codes, SIGN_QUERIES["sign_query_reserved"][0])
+    found = _asked_signs(spark, folder, "sign_query_reserved")
     path = new_path(spark, "features")
     geojson.write_features(found, geojson.sign_feature(), path)
     return geojson.read_features(spark, path, geojson.SIGN_PROPERTIES)
@@ -531,8 +572,7 @@ def _collected(answers, per_collection):
 
 @query
 def sign_display(spark, folder):
-    tables = curated_tables(spark, folder)
-    found = S.query_signs(tables.signs, tables.codes, SIGN_QUERIES["sign_query_all_dimensions"][0])
+    found = _asked_signs(spark, folder, "sign_query_all_dimensions")
     return found.select(
         "sign_id",
         display.sign_color(F.col("category")).alias("color"),
@@ -555,9 +595,7 @@ def marker_layers_not(spark, folder):
 
 @query
 def spot_display(spark, folder):
-    answered = SP.query_spots(
-        curated_tables(spark, folder).spots, SPOT_QUERIES["spot_query_free"]
-    )
+    answered = _asked_spots(spark, folder, "spot_query_free")
     free, street = F.col("is_currently_free"), F.col("street")
     line = F.explode_outer(F.when(F.size("periods") > 0, F.col("periods"))).alias("line")
     return answered.select("place_id", free, street, line).select(
@@ -569,7 +607,6 @@ def spot_display(spark, folder):
 
 @query
 def result_cap(spark, folder):
-    tables = curated_tables(spark, folder)
-    found = S.query_signs(tables.signs, tables.codes, SIGN_QUERIES["sign_query_all_dimensions"][0])
-    answered = SP.query_spots(tables.spots, SPOT_QUERIES["spot_query_free"])
+    found = _asked_signs(spark, folder, "sign_query_all_dimensions")
+    answered = _asked_spots(spark, folder, "spot_query_free")
     return viewport.result_sizes(found, answered, limit=1_000)

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kerbside.functions.zorder import interleaved
+
 # The city's bounding box (min_lon, min_lat, max_lon, max_lat).
 CITY_BOUNDS = (-73.97, 45.41, -73.48, 45.70)
 
@@ -56,6 +58,17 @@ class Grid:
             F.shiftleft(_spread_bits(self.row(latitude)), 1)
         )
 
+    def code(self, longitude: float, latitude: float) -> int:
+        """``cell`` of one point, with the same arithmetic."""
+
+        def index(coordinate: float, low: float, high: float) -> int:
+            tiles = 1 << self.max_level
+            scaled = (coordinate - low) / (high - low) * float(tiles)
+            return math.floor(min(max(scaled, 0.0), tiles - 1.0))
+
+        west, south, east, north = self.bounds
+        return interleaved(index(longitude, west, east), index(latitude, south, north), self.max_level)
+
     def level_for(self, width: Column, height: Column) -> Column:
         """Finest level whose tiles are no smaller than the box, so at most 2 x 2 are met."""
         def fit(extent: float, size: Column) -> Column:

@@ -12,6 +12,7 @@ from kerbside import schemas
 from kerbside.functions import periods as P
 from kerbside.functions import text_ranges as text
 from kerbside.functions.grid import Grid
+from kerbside.functions.intervals import truth_bitmaps
 from kerbside.operators.lists import bounded_lists
 from kerbside.operators.numbering import number_rows
 from kerbside.sources import curated
@@ -98,7 +99,12 @@ def explode_ranges(codes: DataFrame, column: str, keep_empty: bool = False) -> D
 def build_codes(raw_signs: DataFrame, ignore_case: bool = False) -> DataFrame:
     """The code dictionary: each distinct text is parsed once, however many signs carry it."""
     numbered = number_rows(distinct_codes(raw_signs), ["code_rpa", "description"], "code_id")
-    return parse_codes(numbered, ignore_case).select(*schemas.CODES.names)
+    parsed = parse_codes(numbered, ignore_case)
+    return parsed.select(
+        *parsed.columns,
+        truth_bitmaps(F.col("day_ranges"), 7).alias("day_truth"),
+        truth_bitmaps(F.col("month_ranges"), 12).alias("month_truth"),
+    ).select(*schemas.CODE_TABLE.names)
 
 
 def build_signs(raw_signs: DataFrame, codes: DataFrame, grid: Grid = Grid()) -> DataFrame:
@@ -271,6 +277,7 @@ def build(
             curated.write_table(build_codes(raw.signs, ignore_case), folder, "codes")
             codes = curated.read_table(spark, folder, "codes")
             curated.write_table(build_signs(raw.signs, codes, grid), folder, "signs")
+            curated.write_index(spark, folder, "signs", grid)
 
     def spot_tables():
         with intermediate_tables(spark):
@@ -280,6 +287,7 @@ def build(
             how = "inner" if via_regulations else "left"
             spots = build_spots(raw.places, spot_periods, how, periods_per_row, grid)
             curated.write_table(spots, folder, "spots")
+            curated.write_index(spark, folder, "spots", grid)
 
     with ThreadPoolExecutor(max_workers=2) as pool:
         for chain in [pool.submit(sign_tables), pool.submit(spot_tables)]:

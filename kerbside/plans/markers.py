@@ -32,7 +32,9 @@ def marker_layers(
             categories=None, not_in_range=not_in_range,
         )
         pattern = PERMITTED if reserved else PERMITTED_UNRESERVED
-        found = query_signs(tables.signs, tables.codes, asked, mode="all", regex=pattern)
+        found = query_signs(
+            tables.signs_near(query.bbox), tables.codes, asked, mode="all", regex=pattern
+        )
         layers.append(
             found.select(
                 F.lit("sign").alias("kind"),
@@ -42,7 +44,7 @@ def marker_layers(
             )
         )
     if include_spots:
-        spots = query_spots(tables.spots, query).where(F.col("part_no") == 0)
+        spots = query_spots(tables.spots_near(query.bbox), query).where(F.col("part_no") == 0)
         periods = tables.spot_periods.join(spots.select("place_id"), "place_id", "left_semi")
         kind = F.when(F.col("is_currently_free"), "free").otherwise("paid")
         layers.append(

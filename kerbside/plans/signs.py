@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions.grid import Grid
-from kerbside.functions.intervals import TimeWindow, matches, matches_all
-from kerbside.operators.tiles import points_in_boxes
+from kerbside.functions.intervals import TimeWindow, listed_dimensions, matches, matches_all
+from kerbside.operators.tiles import TiledBoxes
+from kerbside.operators.time_index import TimeIndex
 from kerbside.operators.viewport import in_bbox, in_categories
 from kerbside.plans.requests import SignQuery
 
 _RANGES = ("hour_ranges", "day_ranges", "month_ranges", "chained_days", "chained_months")
+_TRUTH = ("day_truth", "month_truth")
 _TESTS = {"any": matches, "all": matches_all}
 
 # Descriptions of permitted signs, and of those without a reservation.
@@ -19,6 +21,10 @@ PERMITTED = r"^\\P"
 PERMITTED_UNRESERVED = r"^\\P(?!.*RESERVE).+"
 
 
+def _has_truth(codes: DataFrame) -> bool:
+    return all(name in codes.columns for name in _TRUTH)
+
+
 def matching_codes(
     codes: DataFrame, query: SignQuery, mode: str = "any", strict: bool = False,
     regex: str | None = None,
@@ -26,7 +32,7 @@ def matching_codes(
     """Codes that pass the time filter, and the case-insensitive description pattern."""
     if regex is not None:
         codes = codes.where(F.col("description").rlike("(?i)" + regex))
-    return codes.where(_TESTS[mode](query.window(), F.lit(query.not_in_range), strict))
+    return codes.where(_TESTS[mode](query.window(), F.lit(query.not_in_range), strict, _has_truth(codes)))
 
 
 def query_signs(
@@ -67,34 +73,46 @@ def query_signs_batch(
     grid: Grid | None = None,
     mode: str = "any",
     strict: bool = False,
+    time_index: TimeIndex | None = None,
 ) -> DataFrame:
     """Answers of many query rows by one job: one row per (query_id, sign).
 
     Boxes meet signs through tiles, exact box, category and reservation tests cut the pairs,
     and only then are the ranges of the code attached and the window tested. Work follows
     the number of signs inside boxes; queries never meet the whole dictionary.
+
+    Where many queries share few time signatures, ``time_index`` finds the codes of each signature once, as
+    words of bits, and a pair only looks up its bit.
     """
     queries = queries.withColumn(
         "categories", F.coalesce("categories", F.array(F.lit("permitted")))
     ).where(F.size("categories") > 0)
+    tiled = TiledBoxes(queries, grid)
+    truth = _TRUTH if _has_truth(codes) else ()
+    by_bits = truth and time_index is None
+    window = TimeWindow.columns(listed=listed_dimensions(tiled.boxes) if by_bits else frozenset())
     pairs = (
-        points_in_boxes(queries, signs, grid)
+        tiled.meet(signs)
         .where(F.array_contains("categories", F.col("category")))
         .where(F.col("reserved").isNull() | (F.col("reserved") == F.col("is_reserved")))
         .drop("min_lon", "min_lat", "max_lon", "max_lat", "categories", "reserved", "fleche")
     )
-    negate = F.coalesce("not_in_range", F.lit(False))
-    return (
-        pairs.join(codes.select("code_id", "description", *_RANGES), "code_id")
-        .where(_TESTS[mode](TimeWindow.columns(), negate, strict))
-        .select(
-            "query_id",
-            "sign_id",
-            "longitude",
-            "latitude",
-            "category",
-            "is_reserved",
-            "arrondissement",
-            "description",
+    if time_index is not None:
+        passing = time_index.passing_pairs(pairs, tiled.boxes, mode, strict).join(
+            codes.select("code_id", "description"), "code_id"
         )
+    else:
+        negate = F.coalesce("not_in_range", F.lit(False))
+        passing = pairs.join(codes.select("code_id", "description", *_RANGES, *truth), "code_id").where(
+            _TESTS[mode](window, negate, strict, bool(truth))
+        )
+    return passing.select(
+        "query_id",
+        "sign_id",
+        "longitude",
+        "latitude",
+        "category",
+        "is_reserved",
+        "arrondissement",
+        "description",
     )

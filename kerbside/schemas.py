@@ -48,6 +48,14 @@ CODES = T.StructType(
         T.StructField("chained_months", T.BooleanType()),
     ]
 )
+# The dictionary as stored: with bits for every query range of an axis, see functions.intervals.truth_bitmaps.
+CODE_TABLE = T.StructType(
+    [
+        *CODES,
+        T.StructField("day_truth", T.ArrayType(T.LongType())),
+        T.StructField("month_truth", T.ArrayType(T.LongType())),
+    ]
+)
 
 SIGNS = T.StructType(
     [

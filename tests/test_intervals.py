@@ -1,9 +1,12 @@
 import itertools
+import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from kerbside import schemas
+from kerbside.functions import intervals as I
 from kerbside.functions.intervals import TimeWindow, in_force, matches, matches_all, within
 from tests.model import contained
 
@@ -101,3 +104,45 @@ def test_null_ranges_count_as_none(spark):
 def test_all_mode(spark, code, window, negate, expected):
     test = matches_all(TimeWindow.literal(**window), F.lit(negate))
     assert _code(spark, **code).select(test).first()[0] is expected
+
+
+@pytest.mark.parametrize("size, strict", [(7, False), (7, True), (12, False), (12, True)])
+def test_plain_containment_is_the_columns_one(spark, size, strict):
+    pairs = [(a, b) for a in range(1, size + 1) for b in range(1, size + 1)]
+    rows = [(*q, *p) for q in pairs for p in pairs]
+    frame = spark.createDataFrame(
+        [tuple(map(float, r)) for r in rows], "qs double, qe double, ps double, pe double"
+    )
+    found = frame.select(I.within(F.col("qs"), F.col("qe"), F.col("ps"), F.col("pe"), float(size), strict)).collect()
+    assert [r[0] for r in found] == [I.contains(r[:2], r[2:], size, strict) for r in rows]
+
+
+@pytest.mark.parametrize("size", [7, 12])
+def test_truth_bits_are_the_predicates(spark, size):
+    draw = random.Random(size)
+    lists = [[]] + [
+        [(draw.randint(1, size), draw.randint(1, size)) for _ in range(draw.randint(1, 3))] for _ in range(25)
+    ]
+    pairs = [(a, b) for a in range(1, size + 1) for b in range(1, size + 1)]
+    rows = [(ranges, float(s), float(e)) for ranges in [*lists, None] for s, e in pairs]
+    frame = spark.createDataFrame(rows, "ranges array<struct<start:bigint,end:bigint>>, s double, e double")
+    ends, bits = (F.col("s"), F.col("e")), I.truth_bitmaps(F.col("ranges"), size)
+    checks = []
+    for strict in (False, True):
+        checks.append(I.truth_bit(bits, ends, size, "any", strict) == I.any_within(*ends, F.col("ranges"), size, strict))
+        every = I.all_within(*ends, F.col("ranges"), size, F.lit(False), strict)
+        checks.append(I.truth_bit(bits, ends, size, "all", strict) == every)
+        none = I.all_within(*ends, F.col("ranges"), size, F.lit(True), strict)
+        checks.append((F.col("ranges").isNotNull() & ~I.truth_bit(bits, ends, size, "any", strict)) == none)
+    assert frame.where(~reduce(lambda a, b: a & b, checks)).count() == 0
+
+
+def test_windows_know_which_ends_are_on_their_axis(spark):
+    assert I.TimeWindow.literal(day=(1, 7), month=(0, 4)).listed == {"day"}
+    assert I.TimeWindow.literal(day=(1.5, 2), month=(12, 1)).listed == {"month"}
+    assert I.TimeWindow.literal(day=(None, 3)).listed == frozenset()
+    schema = "day_start long, day_end long, month_start long, month_end long"
+    on, off = (1, 7, None, 12), (0, 3, 1, 1)
+    assert I.listed_dimensions(spark.createDataFrame([on], schema)) == {"day", "month"}
+    assert I.listed_dimensions(spark.createDataFrame([on, off], schema)) == {"month"}
+    assert I.listed_dimensions(spark.createDataFrame([], schema)) == {"day", "month"}

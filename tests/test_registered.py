@@ -85,3 +85,19 @@ def test_same_answers_without_broadcasts(spark, con, monkeypatch, name):
 
 def test_every_single_query_is_registered():
     assert set(SIGN_QUERIES) <= set(queries())
+
+
+@pytest.mark.parametrize("name", sorted(n for n, (asked, _) in SIGN_QUERIES.items() if asked.day or asked.month))
+def test_days_and_months_are_answered_by_a_shift(spark, name):
+    """Lambdas over ranges are left for hours only."""
+    plan = _plan(queries()[name](spark, FOLDER), "extended")
+    for ranges in ("day_ranges", "month_ranges"):
+        assert f"exists({ranges}" not in plan and f"forall({ranges}" not in plan
+
+
+def test_a_viewport_opens_only_its_files(spark):
+    tables = curated_tables(spark, FOLDER)
+    for box in ((-73.5001, 45.41, -73.5, 45.4101), (-80.0, 40.0, -79.0, 41.0)):
+        met = tables.sign_slices.met_by(box)
+        assert len(met) < len(tables.sign_slices.files)
+        assert set(tables.signs_near(box).inputFiles()) <= set(tables.signs.inputFiles())
