@@ -683,6 +683,7 @@ def oracles() -> dict[str, str]:
         + f"SELECT {_SPOT_COLUMNS}, is_currently_free, description FROM {_described_spots('spot_query_free')}",
         "geojson_split_spots": _ALL_SPOTS
         + f"SELECT {_SPOT_COLUMNS}, is_currently_free, description FROM {_described_spots('spot_query_free')}",
+        "geojson_document": _ALL_SIGNS + f"SELECT {_SIGN_COLUMNS} " + _sign_rows("sign_query_time"),
         "geojson_read": _ALL_SIGNS + f"SELECT {_SIGN_COLUMNS} " + _sign_rows("sign_query_reserved"),
         "feature_collections": _with(PARSED, SIGNS, QUERY_ROWS)
         + f"SELECT {_SIGN_COLUMNS} {_batch_pairs(_BATCH_ANY)}",

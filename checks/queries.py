@@ -24,6 +24,7 @@ from kerbside.plans.prepared import curated_tables
 from kerbside.plans.requests import SignQuery, SpotQuery
 from kerbside.sources import delimited, geojson
 from kerbside.sources import star_schema as inputs
+from kerbside.sources.geojson_document import read_document, write_document
 from kerbside.storage import new_path, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -546,6 +547,15 @@ def geojson_read(spark, folder):
     return geojson.read_features(spark, path, geojson.SIGN_PROPERTIES)
 
 
+@query
+def geojson_document(spark, folder):
+    """Sign features as one document, written by several tasks and read back in pieces."""
+    found = _asked_signs(spark, folder, "sign_query_time")
+    path = new_path(spark, "document")
+    write_document(found, geojson.sign_feature(), path, ["sign_id"])
+    return read_document(spark, path, geojson.SIGN_PROPERTIES)
+
+
 @query
 def feature_collections(spark, folder):
     """Collections per batch query, written one per line and read back as rows."""

@@ -17,6 +17,7 @@ from kerbside.operators.lists import bounded_lists
 from kerbside.operators.numbering import number_rows
 from kerbside.sources import curated
 from kerbside.sources.delimited import read_csv
+from kerbside.sources.versions import new_version, publish
 from kerbside.storage import intermediate_tables
 
 # A spot with more distinct periods than this spans several curated rows.
@@ -266,30 +267,34 @@ def build(
     via_regulations: bool = False,
     keep_seconds: bool = False,
 ) -> curated.Curated:
-    """Write the curated tables to a folder, each from the written form of the one before.
+    """Write the curated tables to a new version of a folder, each from the written form of the one before,
+    and publish it. Readers of earlier versions go on undisturbed.
 
     Signs and spots share no input, so the two chains are submitted side by side.
     ``via_regulations`` keeps only links the regulations table names, and only places that
     have periods; ``keep_seconds`` counts the seconds of period ends.
     """
+    version = new_version(folder)
+
     def sign_tables():
         with intermediate_tables(spark):
-            curated.write_table(build_codes(raw.signs, ignore_case), folder, "codes")
-            codes = curated.read_table(spark, folder, "codes")
-            curated.write_table(build_signs(raw.signs, codes, grid), folder, "signs")
-            curated.write_index(spark, folder, "signs", grid)
+            curated.write_table(build_codes(raw.signs, ignore_case), version, "codes")
+            codes = curated.read_table(spark, version, "codes")
+            curated.write_table(build_signs(raw.signs, codes, grid), version, "signs")
+            curated.write_index(spark, version, "signs", grid)
 
     def spot_tables():
         with intermediate_tables(spark):
             periods = build_spot_periods(raw, via_regulations, keep_seconds)
-            curated.write_table(periods, folder, "spot_periods")
-            spot_periods = curated.read_table(spark, folder, "spot_periods")
+            curated.write_table(periods, version, "spot_periods")
+            spot_periods = curated.read_table(spark, version, "spot_periods")
             how = "inner" if via_regulations else "left"
             spots = build_spots(raw.places, spot_periods, how, periods_per_row, grid)
-            curated.write_table(spots, folder, "spots")
-            curated.write_index(spark, folder, "spots", grid)
+            curated.write_table(spots, version, "spots")
+            curated.write_index(spark, version, "spots", grid)
 
     with ThreadPoolExecutor(max_workers=2) as pool:
         for chain in [pool.submit(sign_tables), pool.submit(spot_tables)]:
             chain.result()
-    return curated.load(spark, folder)
+    publish(spark, version)
+    return curated.load(spark, version)

@@ -12,6 +12,7 @@ from kerbside import schemas
 from kerbside.functions.grid import Grid
 from kerbside.operators.viewport import BBox
 from kerbside.sources.slices import INDEX, SlicedTable, index_rows
+from kerbside.sources.versions import current
 
 _SCHEMAS = {
     "codes": schemas.CODE_TABLE,
@@ -86,11 +87,12 @@ def _parted(spots: DataFrame, split: bool) -> DataFrame:
 
 
 def load(spark: SparkSession, folder: str) -> Curated:
-    """The four tables, and the indexes of signs and spots (a row per file, kept on the driver).
+    """The four tables of the last published version, and the indexes of signs and spots (a row per file, kept on the driver).
 
     One look at the spots tells whether any spans several rows, which row-group statistics
     answer.
     """
+    folder = current(spark, folder)
     tables = {table: read_table(spark, folder, table) for table in _SCHEMAS}
     split = not tables["spots"].where(F.col("n_parts") > 1).isEmpty()
     slices = {table: _slices(spark, folder, table, tables[table]) for table in _INDEXED}
