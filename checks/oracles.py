@@ -725,6 +725,15 @@ def oracles() -> dict[str, str]:
                            count(*) FILTER (WHERE is_currently_free) AS n_free
                     FROM {_answered_spots('spot_query_free')})""",
     }
+    result["place_changes"] = result["place_changes_stream"] = _with(LINKS, SPANS, PLACES) + f"""
+        SELECT place_id, at_us, is_free
+        FROM (SELECT *, lag(is_free) OVER (PARTITION BY place_id ORDER BY at_us) AS before
+              FROM (SELECT DISTINCT e.place_id, epoch_us(ts) AS at_us, NOT {_paid(('hour', 'hour'), ('day', 'day'), 'e.place_id')}
+                      AS is_free
+                    FROM (SELECT *, (user_id + 1)::VARCHAR AS place_id, isodow(ts) AS day,
+                                 (epoch_us(ts) // 1000 % 86400000) / 3600000 AS hour FROM events) e
+                    JOIN places p ON p.place_id = e.place_id))
+        WHERE before IS NULL OR before <> is_free"""
     result["filter_sign_query_indexed"] = result["filter_sign_query"]
     for name in SIGN_QUERIES:
         result[name] = _ALL_SIGNS + f"SELECT {_SIGN_COLUMNS} " + _sign_rows(name)

@@ -26,6 +26,7 @@ from kerbside.sources import delimited, geojson
 from kerbside.sources import star_schema as inputs
 from kerbside.sources.geojson_document import read_document, write_document
 from kerbside.storage import new_path, written
+from kerbside.streaming import status
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -419,6 +420,44 @@ def batch_spot_query(spark, folder):
     return _spot_rows(answered)
 
 
+# Streams
+
+REPLAY_PARTS, LATE_HOURS = 3, 5
+
+
+def _visits(spark, folder) -> DataFrame:
+    """Moments at places: each user's events at one place."""
+    return inputs.table(spark, folder, "events").select(
+        (F.col("user_id") + 1).cast("string").alias("place_id"), F.col("ts").cast("timestamp").alias("at"), "event_id"
+    )
+
+
+@query
+def place_changes(spark, folder):
+    spots = curated_tables(spark, folder).spots
+    return status.changes(status.place_statuses(_visits(spark, folder), spots))
+
+
+@query
+def place_changes_stream(spark, folder):
+    """The same from a replayed file stream, in which each moment comes up to some hours late."""
+    spots, late = curated_tables(spark, folder).spots, F.col("event_id") % (LATE_HOURS * 3600)
+    visits = _visits(spark, folder).withColumn("arrival", F.unix_seconds("at") + late)
+    first, last = visits.agg(F.min("arrival"), F.max("arrival")).first()
+    width = (last - first) // REPLAY_PARTS + 1
+    visits = visits.withColumn("part", F.floor((F.col("arrival") - first) / width))
+    source, path, checkpoint = (new_path(spark, name) for name in ("visits", "changes", "state"))
+    # a moment of another month lets the watermark pass all others
+    ahead = visits.agg((F.max("at") + F.expr("interval 30 days")).alias("at")).select(F.lit("1").alias("place_id"), "at")
+    for part in range(REPLAY_PARTS + 1):
+        rows = visits.where(F.col("part") == part) if part < REPLAY_PARTS else ahead
+        rows.select("place_id", "at").write.mode("append").parquet(source)
+        stream = spark.readStream.schema("place_id string, at timestamp").parquet(source)
+        statuses = status.place_statuses(stream, spots)
+        status.write_changes(statuses, f"{LATE_HOURS + 1} hours", path, checkpoint).awaitTermination()
+    return spark.read.schema(status.CHANGE).parquet(path)
+
+
 # Saved filters
 
 _FILTER_FIELDS = [

@@ -51,13 +51,14 @@ def write_table(df: DataFrame, folder: str, table: str) -> None:
 
 def write_index(spark: SparkSession, folder: str, table: str, grid: Grid) -> None:
     """The index of the files of a written table, whose rows were sorted by the tiles of ``grid``."""
-    rows = index_rows(spark.read.schema(_SCHEMAS[table]).parquet(table_path(folder, table)), grid)
+    path = table_path(folder, table)
+    rows = index_rows(spark.read.schema(_SCHEMAS[table]).parquet(path), path.rsplit("/", 1)[1], grid)
     rows.coalesce(1).write.mode("overwrite").parquet(table_path(folder, f"{table}_index"))
 
 
 def _slices(spark: SparkSession, folder: str, table: str, rows: DataFrame) -> SlicedTable:
     index = spark.read.schema(INDEX).parquet(table_path(folder, f"{table}_index"))
-    return SlicedTable.load(rows, index)
+    return SlicedTable.load(rows, table_path(folder, table), index)
 
 
 @dataclass(frozen=True)

@@ -39,11 +39,13 @@ INDEX = T.StructType(
 )
 
 
-def index_rows(table: DataFrame, grid: Grid) -> DataFrame:
-    """One row per file of a table that was read from files and has longitude and latitude."""
+def index_rows(table: DataFrame, folder: str, grid: Grid) -> DataFrame:
+    """One row per file of a table that was read from a folder of that name and has longitude and latitude; files
+    are named from the folder on, so the tables may be moved."""
     cell = grid.cell(F.col("longitude"), F.col("latitude"))
+    file = F.substring_index("_metadata.file_path", f"/{folder}/", -1)
     return (
-        table.select(F.col("_metadata.file_path").alias("file"), cell.alias("cell"), "longitude", "latitude")
+        table.select(file.alias("file"), cell.alias("cell"), "longitude", "latitude")
         .groupBy("file")
         .agg(
             F.min("cell").alias("first_cell"),
@@ -76,12 +78,12 @@ class SlicedTable:
     grid: Grid
 
     @staticmethod
-    def load(table: DataFrame, index: DataFrame) -> "SlicedTable":
+    def load(table: DataFrame, path: str, index: DataFrame) -> "SlicedTable":
         rows = index.orderBy("first_cell", "file").collect()  # a row per file
         grid = Grid(tuple(rows[0]["grid_bounds"]), max_level=rows[0]["grid_level"]) if rows else Grid()
         return SlicedTable(
             table,
-            [r["file"] for r in rows],
+            [f"{path}/{r['file']}" for r in rows],
             np.array([r["first_cell"] for r in rows], np.uint64),
             np.array([r["last_cell"] for r in rows], np.uint64),
             np.array([r[3:7] for r in rows], float).reshape(-1, 4),

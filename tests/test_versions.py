@@ -58,9 +58,10 @@ def test_prune_keeps_the_last_versions(spark, raw, tmp_path):
 
 
 def test_a_folder_without_versions_is_read_as_it_is(spark, raw, tmp_path):
-    built = B.build(spark, raw, str(tmp_path / "a"))
+    B.build(spark, raw, str(tmp_path / "a"))
     version = versions.current(spark, str(tmp_path / "a"))
     os.rename(version, tmp_path / "plain")
     assert versions.current(spark, str(tmp_path / "plain")) == str(tmp_path / "plain")
-    assert curated.load(spark, str(tmp_path / "plain")).codes.count() == 5
-    assert built is not None
+    moved = curated.load(spark, str(tmp_path / "plain"))
+    assert moved.codes.count() == 5
+    assert moved.signs_near((-73.7, 45.4, -73.5, 45.6)).count() > 0
