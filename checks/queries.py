@@ -234,11 +234,11 @@ def via_regulations(spark, folder):
 def csv_read(spark, folder):
     """The raw signs, through Windows-1252 files."""
     path = new_path(spark, "signs-csv")
-    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
+    signs = inputs.raw_signs(spark, folder)
     (
-        inputs.raw_signs(spark, folder)
+        signs.select(*[delimited.to_latin(F.col(c)).alias(c) for c in signs.columns])
         .write.option("header", True)
-        .option("encoding", delimited.ENCODING)
+        .option("encoding", "iso-8859-1")
         .option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False)
         .option("ignoreTrailingWhiteSpace", False)

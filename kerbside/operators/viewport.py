@@ -22,6 +22,12 @@ def in_categories(categories: Sequence[str]) -> Column:
     return F.col("category").isin(list(categories))
 
 
+def is_over(rows: DataFrame, limit: int) -> bool:
+    """Whether there are more than ``limit`` rows. Tasks are started a few at a time and stop at the first row too
+    many, so an answer that will be refused is neither counted nor gathered."""
+    return len(rows.select(F.lit(1)).take(limit + 1)) > limit
+
+
 def result_sizes(signs: DataFrame, spots: DataFrame, limit: int) -> DataFrame:
     """One row: n_signs, n_paid, n_free, total and whether the total is over the given limit.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from kerbside import schemas
 from kerbside.operators.viewport import result_sizes
 from kerbside.plans import display, report
+from kerbside.operators import viewport
 from kerbside.plans import signs as S
 from kerbside.plans import spots as SP
 from kerbside.plans.markers import marker_layers
@@ -202,3 +203,11 @@ def test_report(tables):
         "spots_with_periods": 2,
         "incomplete_periods": 0,
     }
+
+
+def test_an_answer_over_the_limit_is_refused_without_a_count(spark, tables):
+    found = S.query_signs(tables.signs, tables.codes, SignQuery(BOX, categories=None))
+    n = found.count()
+    assert viewport.is_over(found, n - 1) and not viewport.is_over(found, n)
+    many = spark.range(10**9, numPartitions=1000)
+    assert viewport.is_over(many, 1_000)
