@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from kerbside.storage import new_path, remove_path
 
 
+#: A written table of known size has about so many rows a file.
+FILE_ROWS = 4_096
+
+
 def let_workers_import(spark: SparkSession) -> None:
     """Python workers find this library where the driver does. That is enough where they share the
     driver's disk; on a cluster the library is installed or shipped with ``--py-files``."""
@@ -46,8 +50,15 @@ class Steps:
         self.spark = spark
         self._paths: dict[str, str] = {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """With ``rows``, about how many there are, a small table gets few files instead of one per
+        shuffle partition; every file costs its tasks, its commit and its footer."""
         path = new_path(self.spark, name)
+        if rows is not None:
+            most = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            files = -(-rows // FILE_ROWS)
+            if files < most:
+                df = df.coalesce(max(1, files))
         df.write.parquet(path)
         self._paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)

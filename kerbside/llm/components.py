@@ -16,17 +16,21 @@ def _signature(edges: DataFrame) -> tuple:
     )
 
 
-def connected_components(edges: DataFrame, steps: Steps, name: str) -> DataFrame:
+def connected_components(
+    edges: DataFrame, steps: Steps, name: str, rows: int | None = None
+) -> DataFrame:
     """node, component (the smallest node reachable) of every node with an edge (a, b).
 
     Each round first ties every larger neighbour of a node to the node's smallest neighbour, then
     every smaller one; edges never grow in number, and a component becomes a star around its
     smallest node. Minima are pre-aggregated, and a node with very many edges only meets its one
     minimum again, in a join that Spark may split. Self-loops and repeated edges count for nothing.
+    ``rows`` is about the number of edges, if it is known.
     """
     now = steps.keep(
         edges.filter("a <> b").select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).distinct(),
         f"{name}_0",
+        rows,
     )
     state, turn = _signature(now), 0
     while state[0]:
@@ -45,7 +49,7 @@ def connected_components(edges: DataFrame, steps: Steps, name: str) -> DataFrame
             .unionAll(least.select(F.col("m").alias("lo"), "hi"))
             .distinct()
         )
-        then = steps.keep(small, f"{name}_{turn + 1}")
+        then = steps.keep(small, f"{name}_{turn + 1}", rows=state[0])
         before, state = state, _signature(then)
         steps.drop(f"{name}_{turn}")
         now, turn = then, turn + 1

@@ -255,9 +255,9 @@ def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _rest_of_large_bands(
-    members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, steps: Steps
+    members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, steps: Steps, n: int
 ) -> DataFrame:
-    """Links (a, b) between components that share a large band, compared in blocks."""
+    """Links (a, b) between components that share a large band, compared in blocks; ``n`` classes in all."""
     named = members.join(labels, "node", "left").withColumn(
         "component", F.coalesce("component", "node")
     )
@@ -267,17 +267,19 @@ def _rest_of_large_bands(
         .filter("first <> last")
         .select("band")
     )
-    left_open = steps.keep(named.join(open_bands, "band", "left_semi"), "nd_open")
+    left_open = steps.keep(named.join(open_bands, "band", "left_semi"), "nd_open", n)
+    rows = left_open.count()
     groups = connected_components(
-        left_open.select(F.col("leader").alias("a"), F.col("node").alias("b")), steps, "nd_groups"
+        left_open.select(F.col("leader").alias("a"), F.col("node").alias("b")), steps, "nd_groups", rows
     )
     grouped = steps.keep(
         left_open.select("node", "component")
         .distinct()
         .join(groups.withColumnRenamed("component", "group"), "node"),
         "nd_grouped",
+        rows,
     )
-    blocks = steps.keep(_blocks(grouped, sets), "nd_blocks")
+    blocks = steps.keep(_blocks(grouped, sets), "nd_blocks", rows)
     key = F.struct(F.coalesce(F.hex("part"), F.lit("")), "block")
     keyed = blocks.select("group", "part", key.alias("key"))
     a = keyed.select("group", F.col("part").alias("part_a"), F.col("key").alias("key_a"))
@@ -316,6 +318,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         ),
         "nd_classes",
     )
+    n = classes.count()  # from the footers
     banded = classes.select("node", F.explode("bands").alias("band"))
     shared = (
         banded.groupBy("band")
@@ -334,12 +337,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     )
     slim = classes.select("node", "size", "signature")
     likely = steps.keep(
-        pairs.join(slim.toDF("a", "size_a", "sig_a"), "a")
+        rows=n,
+        name="nd_pairs",
+        df=pairs.join(slim.toDF("a", "size_a", "sig_a"), "a")
         .join(slim.toDF("b", "size_b", "sig_b"), "b")
         .filter(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b"))
         .filter(estimated(F.col("sig_a"), F.col("sig_b")) >= least_estimate(similarity))
         .select("a", "b"),
-        "nd_pairs",
     )
     needed = (
         likely.select(F.col("a").alias("node"))
@@ -361,16 +365,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
     steps.clean()
     common = F.size(F.array_intersect("set_a", "set_b"))
     links = steps.keep(
-        likely.join(sets.toDF("a", "set_a"), "a")
+        rows=n,
+        name="nd_links",
+        df=likely.join(sets.toDF("a", "set_a"), "a")
         .join(sets.toDF("b", "set_b"), "b")
         .filter(_linked(common, F.size("set_a"), F.size("set_b"), percent))
         .select("a", "b"),
-        "nd_links",
     )
     steps.clean()
-    labels = steps.keep(connected_components(links, steps, "nd_first"), "nd_labels")
-    rest = steps.keep(_rest_of_large_bands(large, labels, sets, percent, steps), "nd_rest")
-    joined = connected_components(rest, steps, "nd_second").toDF("component", "whole")
+    labels = steps.keep(connected_components(links, steps, "nd_first", n), "nd_labels", n)
+    rest = steps.keep(_rest_of_large_bands(large, labels, sets, percent, steps, n), "nd_rest", n)
+    joined = connected_components(rest, steps, "nd_second", n).toDF("component", "whole")
     every = (
         classes.select("node", "first_id")
         .join(labels, "node", "left")
@@ -379,7 +384,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85) -> DataF
         .select("node", "first_id", F.coalesce("whole", "component").alias("component"))
     )
     least = every.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    final = steps.keep(every.join(least, "component").select("node", "component", "component_id"), "nd_final")
+    final = steps.keep(every.join(least, "component").select("node", "component", "component_id"), "nd_final", n)
     steps.clean()
     filled = signed.filter(F.col("node").isNotNull()).select("doc_id", "text_key", "n_shingles", "node").join(final, "node")
     empty = signed.filter(F.col("node").isNull()).select(
