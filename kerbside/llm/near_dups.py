@@ -1,8 +1,8 @@
 """Near-duplicate documents by b-bit MinHash.
 
 1. Every text becomes the set of its word shingles; texts with equal sets are one class.
-2. Of each class only the low ``BITS`` bits of its ``HASHES`` minima are kept, packed into longs,
-   and ``BANDS`` band hashes over the full minima. Classes that share a band are candidates.
+2. Of each class only the low ``BITS`` bits of ``HASHES`` minima are kept, packed into longs,
+   and ``BANDS`` band hashes, each over full minima of its own. Classes that share a band are candidates.
 3. Small bands give their pairs; large ones give the pairs with their smallest member. The packed
    signatures are compared by bit counts; from the share of equal low bits the chance agreement is
    taken off, and pairs are kept down to five standard errors below the threshold.
@@ -12,7 +12,8 @@
    as products of incidence matrices). So a large group of copies costs no pair of rows, and no
    link is lost to the choice of the member that stands for a band.
 
-A pair at the threshold shares no band with a chance of about 1e-7. Nothing else is approximate.
+No two bands share a minimum, so bands miss a pair independently, and a pair at the threshold shares no band with
+a chance of at most ``MISS``. Nothing else is approximate.
 
 Null texts and texts without words have no shingles and link with nothing. Rows that repeat a
 doc_id are separate documents sharing that id; a component's id is its smallest doc_id that is
@@ -58,18 +59,16 @@ def least_estimate(similarity: float) -> float:
     return similarity - 5 * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
 
 
-_ODD = mixed(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
-_PLUS = mixed(np.arange(1001, HASHES + 1001, dtype=np.uint64))
-
-
-def minima(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows x HASHES minima; every row holds at least one value."""
-    out = np.empty((len(offsets) - 1, HASHES), np.uint64)
+def minima(values: np.ndarray, offsets: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """Rows x hashes minima; every row holds at least one value."""
+    out = np.empty((len(offsets) - 1, hashes), np.uint64)
     held = np.empty_like(values)
+    odd = mixed(np.arange(1, hashes + 1, dtype=np.uint64)) | np.uint64(1)
+    plus = mixed(np.arange(1001, hashes + 1001, dtype=np.uint64))
     with np.errstate(over="ignore"):
-        for k in range(HASHES):
-            np.multiply(values, _ODD[k], out=held)
-            held += _PLUS[k]
+        for k in range(hashes):
+            np.multiply(values, odd[k], out=held)
+            held += plus[k]
             out[:, k] = np.minimum.reduceat(held, offsets[:-1])
     return out
 
@@ -82,13 +81,12 @@ def packed(least: np.ndarray) -> np.ndarray:
 
 
 def bands(least: np.ndarray, rows: int) -> np.ndarray:
-    """Rows x BANDS hashes, each over ``rows`` minima drawn by a fixed rule."""
+    """Rows x BANDS hashes, each over the next ``rows`` minima."""
     out = np.empty((len(least), BANDS), np.uint64)
     with np.errstate(over="ignore"):
         for band in range(BANDS):
-            drawn = np.argsort(mixed(np.arange(HASHES, dtype=np.uint64) + np.uint64(7919 * (band + 1))))[:rows]
             held = np.full(len(least), band + 1, np.uint64)
-            for place in drawn:
+            for place in range(band * rows, (band + 1) * rows):
                 held = mixed(held * np.uint64(3) + least[:, place])
             out[:, band] = held
     return out
@@ -133,8 +131,9 @@ def signatures(docs: DataFrame, width: int, rows: int) -> DataFrame:
                 signed, banded = [None] * len(own), [None] * len(own)
                 if filled:
                     offsets = np.cumsum([0] + [len(own[i]) for i in filled])
-                    least = minima(np.concatenate([own[i] for i in filled]), offsets)
-                    for i, s, b in zip(filled, packed(least).view(np.int64), bands(least, rows).view(np.int64)):
+                    least = minima(np.concatenate([own[i] for i in filled]), offsets, max(HASHES, BANDS * rows))
+                    low, banded_now = packed(least[:, :HASHES]), bands(least, rows)
+                    for i, s, b in zip(filled, low.view(np.int64), banded_now.view(np.int64)):
                         signed[i], banded[i] = s, b
                 yield pa.RecordBatch.from_arrays(
                     [
