@@ -80,6 +80,16 @@ _SAYS_NO_TEXT = re.compile(
     r"|topbar|toolbar|related|recommended|widget|pagination|pager|skip-link|search)",
     re.I,
 )
+# Names of several words: what a block is stands at the end ("entry-comments"), and may be followed by its form
+# ("comments-list"). A first word such as "no" or "has" speaks of something else's absence or presence.
+_SAYS_SO_IN_WORDS = re.compile(
+    r"(?!(?:no|has|with|without|is|hide|show)[-_])(?:[a-z0-9]+[-_]+)*"
+    r"(?:(?:comments|replies|disqus)(?:[-_]+(?:list|section|area|thread|form|box|wrapper|container))?"
+    r"|comment[-_]+(?:list|section|area|thread|form|box|wrapper|container)"
+    r"|(?:share|sharing|social)[-_]+(?:buttons?|links?|bar|icons?|tools|list)"
+    r"|(?:site|left|right|page|primary|secondary)[-_]+sidebar)",
+    re.I,
+)
 # The class and id of these say nothing about their text: pages and passages are named for their looks.
 _ANY_NAME = set("#root html body h1 h2 h3 h4 h5 h6 p".split())
 _ROLES = set("navigation banner contentinfo complementary search alert dialog form menu menubar toolbar".split())
@@ -188,7 +198,7 @@ def is_box(node: Node, inner: bool) -> bool:
 def says_no_text(node: Node, around_article: bool = False) -> bool:
     """Tag or attributes mark the element as something else than article text.
 
-    Only whole class and id names count. What lies around an article may have any name and role, and
+    Only whole class and id names count, of one word or of several. What lies around an article may have any name and role, and
     be a form."""
     if node.tag in _NO_TEXT and not (around_article and node.tag == "form"):
         return True
@@ -198,7 +208,9 @@ def says_no_text(node: Node, around_article: bool = False) -> bool:
     for m in _ATTRIBUTE.finditer(node.attributes):
         name = m.group(1).lower()
         value = next((g for g in m.groups()[1:] if g is not None), "")
-        if named and name in ("class", "id") and any(_SAYS_NO_TEXT.fullmatch(part) for part in value.split()):
+        if named and name in ("class", "id") and any(
+            _SAYS_NO_TEXT.fullmatch(part) or _SAYS_SO_IN_WORDS.fullmatch(part) for part in value.split()
+        ):
             return True
         if named and name == "role" and value.strip().lower() in _ROLES:
             return True

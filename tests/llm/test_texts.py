@@ -390,3 +390,19 @@ def test_last_stage_decodes_its_ids(spark):
     rows = found.collect()
     assert Counter((r.doc_id, tuple(r.ids), r.decoded_sha256, r.is_text) for r in rows) == expected
     assert all(r.n_tokens == len(r.ids) for r in rows)
+
+
+@pytest.mark.parametrize(
+    "name", ["entry-comments", "user_comments", "comments-section", "comment-list", "post-comments-area", "share-buttons",
+             "social-links", "right-sidebar"],
+)
+def test_blocks_named_by_several_words_go(name):
+    for where in (f'class="box {name}"', f"id={name}"):
+        html = f"<article><p>kept</p><div {where}><p>gone</p></div></article>"
+        assert page_text.main_text(html, set()) == "kept"
+
+
+@pytest.mark.parametrize("name", ["no-comments", "has-right-sidebar", "comments-open", "with-share-buttons", "commentary"])
+def test_names_that_speak_of_something_else_stay(name):
+    html = f'<article><p>kept</p><div class="{name}"><p>kept too</p></div></article>'
+    assert page_text.main_text(html, set()) == "kept\nkept too"
