@@ -10,7 +10,7 @@ import json
 import os
 import time
 
-from checks.queries import REGISTRY
+from checks.queries import REGISTRY, SIGN_QUERIES
 from kerbside.plans.prepared import curated_tables
 from kerbside.session import local_session
 
@@ -31,8 +31,11 @@ HEADLINE = [
     "batch_sign_query",
     "batch_spot_query",
     "filter_sign_query",
+    "filter_sign_query_indexed",
     "cluster_grid",
+    "cluster_radius",
     "geojson_features",
+    "geojson_document",
     "feature_collections",
     "quality_report",
     "marker_layers",
@@ -83,6 +86,8 @@ def main() -> None:
     tables = curated_tables(spark, FOLDER)
     singles = {name: warm_median(spark, name) for name in ("sign_query_bbox_only", "spot_query_free")}
     viewport = stage_totals(spark, "viewport", REGISTRY["sign_query_bbox_only"](spark, FOLDER))
+    box = SIGN_QUERIES["sign_query_bbox_only"][0].bbox
+    files = len(tables.sign_slices.met_by(box)), len(tables.sign_slices.files)
     links = stage_totals(spark, "links", REGISTRY["spot_periods"](spark, FOLDER))
     signs, queries = tables.signs.count(), spark.read.parquet(f"{FOLDER}/events.parquet").count()
     print(
@@ -98,6 +103,8 @@ def main() -> None:
                 "batch_queries_per_sec": round(queries / seconds["batch_sign_query"]),
                 "single_query_warm_sec": singles,
                 "viewport_rows_scanned": viewport["rows_scanned"],
+                "viewport_files_opened": files[0],
+                "sign_files": files[1],
                 "period_join_shuffle_bytes": links["shuffle_bytes"],
             }
         )

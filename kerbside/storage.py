@@ -76,8 +76,31 @@ def remove_tables(spark: SparkSession) -> None:
         forget()
 
 
+#: Up to so many files are looked at one by one; more are listed by a job.
+LISTED_FILES = 1_000
+
+
+def _statuses(spark: SparkSession, path: str) -> list[tuple] | None:
+    """Path, time and length of the files below a path, None if there are many."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    status = files.getFileStatus(target)
+    if status.isFile():
+        return [(path, status.getModificationTime(), status.getLen())]
+    if files.getContentSummary(target).getFileCount() > LISTED_FILES:
+        return None
+    found, below = [], files.listFiles(target, True)
+    while below.hasNext():
+        status = below.next()
+        found.append((status.getPath().toString(), status.getModificationTime(), status.getLen()))
+    return sorted(found)
+
+
 def fingerprint(spark: SparkSession, *paths: str) -> tuple:
     """Changes whenever a file below the paths changes; only the file listing is read."""
+    statuses = [_statuses(spark, path) for path in paths]
+    if all(own is not None for own in statuses):
+        return tuple(file for own in statuses for file in own)
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")

@@ -307,3 +307,24 @@ def test_a_wide_box_adds_no_points_to_the_other_levels(spark):
     )
     found = tiles.TiledBoxes(boxes).meet(points)
     assert sorted((r["query_id"], r["longitude"]) for r in found.collect()) == [(0, -73.9), (1, -73.9), (1, -73.5)]
+
+
+@pytest.mark.parametrize("max_level", [4, 16])
+def test_points_far_from_all_boxes_get_no_row(spark, max_level):
+    """Two boxes in opposite corners: their common area holds all points, their squares hardly any."""
+    grid, draw = Grid(max_level=max_level, min_level=2), random.Random(6)
+    west, south, east, north = grid.bounds
+    points = [(i, draw.uniform(west, east), draw.uniform(south, north)) for i in range(4_000)]
+    corners = [(west, south, west + 0.004, south + 0.003), (east - 0.004, north - 0.003, east, north)]
+    boxes = spark.createDataFrame(
+        [(i, *box) for i, box in enumerate(corners)], "query_id long, min_lon double, min_lat double, max_lon double, max_lat double"
+    )
+    frame = spark.createDataFrame(points + [(9_999, west + 0.001, south + 0.001)], "id long, longitude double, latitude double")
+    tiled = tiles.TiledBoxes(boxes, grid)
+    assert tiled.tiles_of(frame).count() < 150
+    found = {(r["query_id"], r["id"]) for r in tiled.meet(frame).collect()}
+    assert found == {
+        (q, i) for q, box in enumerate(corners) for i, lon, lat in [*points, (9_999, west + 0.001, south + 0.001)]
+        if box[0] <= lon <= box[2] and box[1] <= lat <= box[3]
+    }
+    assert (0, 9_999) in found
