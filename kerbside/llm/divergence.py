@@ -10,7 +10,8 @@ up to 8 bytes become one big-endian uint64 and terms of up to 16 bytes two; thes
 bits a pass, and counted as runs, first per text and then per group. Longer terms go to buckets by
 length (doubling), are padded to the bucket's width and sorted as bytes. A text above ``RUN_BYTES`` is
 cut between terms, and the runs of its pieces are counted once more, so memory is bounded by a run and
-by the different terms of one text. Spark adds up the partial counts by (lang, source, term).
+by the different terms of one text. A task puts the counts of its runs together, at most about ``HELD_ROWS`` of
+them, and Spark adds up those of all tasks by (lang, source, term).
 
 Distances between sources are sums over terms. Kept terms fall into chunks of about ``CHUNK_TERMS`` by
 hash, and sources into blocks of ``BLOCK_SOURCES``; a task holds one chunk for two blocks, and adds up
@@ -38,6 +39,7 @@ from kerbside.llm.common import Steps, text_column
 LEAST_DOCS = 30
 TERM_RANKS = 50
 RUN_BYTES = 8 << 20
+HELD_ROWS = 1 << 20
 CHUNK_TERMS = 2_048
 BLOCK_SOURCES = 256
 
@@ -214,31 +216,74 @@ def _runs(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = last
 
 
-def term_counts(docs: DataFrame, limit: int = RUN_BYTES) -> DataFrame:
+class _Held:
+    """Counts per group and term of one bucket, put together from several runs of texts."""
+
+    def __init__(self):
+        self.parts: list[tuple[Counts, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, sums: Counts, docs: np.ndarray) -> None:
+        self.parts.append((sums, docs))
+        self.rows += len(docs)
+
+    def reduced(self) -> tuple[Counts, np.ndarray]:
+        """One row per group and term; ``text`` holds the group."""
+        if len(self.parts) > 1:
+            keys = [np.concatenate(k) for k in zip(*(c.keys for c, _ in self.parts))]
+            group, n = (np.concatenate(c) for c in zip(*((c.text, c.n) for c, _ in self.parts)))
+            docs = np.concatenate([d for _, d in self.parts])
+            order = Counts(keys, group, n)._order()
+            order = order[np.argsort(group[order], kind="stable")]
+            both = Counts(keys, group, np.arange(len(n)))._taken(order)
+            starts = both._starts(both.text)
+            whole = Counts([k[starts] for k in both.keys], both.text[starts], np.add.reduceat(n[both.n], starts))
+            self.parts = [(whole, np.add.reduceat(docs[both.n], starts))]
+        self.rows = len(self.parts[0][1])
+        return self.parts[0]
+
+
+def term_counts(docs: DataFrame, limit: int = RUN_BYTES, held_rows: int = HELD_ROWS) -> DataFrame:
     """lang, source, term, n (occurrences) and docs (documents that hold it)."""
 
+    def batch_of(names, sums, docs_with):
+        langs, sources = (pa.array([n[i] for n in names], pa.string()) for i in (0, 1))
+        owners = pa.array(sums.text, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [
+                langs.take(owners), sources.take(owners), sums.terms(),
+                pa.array(sums.n, pa.int64()), pa.array(docs_with, pa.int64()),
+            ],
+            names=["lang", "source", "term", "n", "docs"],
+        )
+
     def count(batches):
+        groups: dict[tuple, int] = {}
+        held: dict[int, _Held] = {}
+
+        def given():
+            for own in held.values():
+                if own.rows:
+                    yield batch_of(list(groups), *own.reduced())
+            held.clear()
+
         for batch in batches:
             data, offsets = _bytes_of(text_column(batch))
-            group, names = pd.factorize(
-                pd.MultiIndex.from_arrays([batch.column(c).to_pylist() for c in ("lang", "source")])
-            )
+            names = zip(*(batch.column(c).to_pylist() for c in ("lang", "source")))
+            group = np.array([groups.setdefault(name, len(groups)) for name in names], np.int64)
             for first, last in _runs(offsets, limit):
                 part = data[offsets[first] : offsets[last]]
                 counted = _run_counts(part, offsets[first : last + 1] - offsets[first], limit)
-                for found in counted.values():
+                for width, found in counted.items():
                     sums, docs_with = found.per_group(group[first:last])
-                    owners = [names[g] for g in sums.text.tolist()]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([o[0] for o in owners], pa.string()),
-                            pa.array([o[1] for o in owners], pa.string()),
-                            sums.terms(),
-                            pa.array(sums.n, pa.int64()),
-                            pa.array(docs_with, pa.int64()),
-                        ],
-                        names=["lang", "source", "term", "n", "docs"],
-                    )
+                    held.setdefault(width, _Held()).add(sums, docs_with)
+                if sum(own.rows for own in held.values()) > held_rows:
+                    for own in held.values():
+                        own.reduced()
+                    # what different terms there are does not shrink; then the rows go on to Spark
+                    if sum(own.rows for own in held.values()) > held_rows // 2:
+                        yield from given()
+        yield from given()
 
     return (
         _read(docs)
@@ -367,10 +412,11 @@ def audit(
     chunk_terms: int = CHUNK_TERMS,
     block_sources: int = BLOCK_SOURCES,
     limit: int = RUN_BYTES,
+    held_rows: int = HELD_ROWS,
 ) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank; see the module's text."""
     steps = Steps(docs.sparkSession)
-    counts = steps.keep(term_counts(docs, limit), "audit_counts")
+    counts = steps.keep(term_counts(docs, limit, held_rows), "audit_counts")
     kept = steps.keep(
         counts.groupBy("lang", "term")
         .agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n"))

@@ -77,8 +77,8 @@ def plain(rows, least, ranks):
     return sorted(out)
 
 
-@pytest.mark.parametrize("chunk, block, limit", [(2048, 256, 8 << 20), (3, 2, 64)])
-def test_audit_is_the_plain_count(spark, chunk, block, limit):
+@pytest.mark.parametrize("chunk, block, limit, held", [(2048, 256, 8 << 20, 1 << 20), (3, 2, 64, 1 << 20), (3, 2, 64, 40)])
+def test_audit_is_the_plain_count(spark, chunk, block, limit, held):
     draw = random.Random(5)
     words = ["mill", "River", "ÉTÉ", "straße", "a" * 9, "b" * 17, "c" * 40, "雨が降る", "x"]
     rows = [
@@ -88,7 +88,7 @@ def test_audit_is_the_plain_count(spark, chunk, block, limit):
     ]
     rows += [("lone", "only", "mill"), ("few", "a", "once"), ("few", "b", None)]
     docs = spark.createDataFrame(rows, "lang string, source string, text string")
-    found = divergence.audit(docs, least_docs=4, ranks=3, chunk_terms=chunk, block_sources=block, limit=limit)
+    found = divergence.audit(docs, least_docs=4, ranks=3, chunk_terms=chunk, block_sources=block, limit=limit, held_rows=held)
     expected = plain([tuple(v or "" for v in r) for r in rows], 4, 3)
     assert sorted(tuple(r) for r in found.collect()) == expected
     assert any(r[2] == "pair" and r[4] == 0 and r[0] == "few" for r in expected)
