@@ -36,7 +36,8 @@ def place_statuses(moments: DataFrame, spots: DataFrame, strict: bool = False) -
         F.col("place_id").alias("_place"), at.alias("at"), hour.alias("_hour"), day.alias("_day")
     )
     window = (F.col("_hour"), F.col("_hour")), (F.col("_day"), F.col("_day"))
-    known = spots.select("place_id", "periods")
+    # texts and counts stay out of the join
+    known = spots.select("place_id", P.covering(F.col("periods")).alias("periods"))
     return asked.join(known, F.col("_place") == F.col("place_id")).select(
         "place_id", "at", P.is_free(F.col("periods"), *window, strict).alias("is_free")
     )
