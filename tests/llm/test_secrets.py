@@ -129,3 +129,66 @@ def test_samples_are_bounded_and_hold_each_chain_once(spark):
     first, second = (secrets.training_chains(d, "text", 5, 7) for d in (docs, copies))
     assert sorted(map(repr, first)) == sorted(map(repr, second)) and first
     assert secrets.training_chains(nothing(spark), "text", 5, 7) == []
+
+
+def spans_of_all_words(text, field):
+    """Every word decoded, none passed over."""
+    found = {start: cue for start, _, cue in secrets.candidate_words(text)}
+    about, words, out = secrets.text_features(text, len(found)), text.split(), []
+    for at, match in enumerate(secrets._WORD.finditer(text)):
+        start, open_at = match.start(), None
+        around = secrets.neighbours(words, at)
+        extents, slots = secrets.token_features(match.group(), around, about, found.get(start, 0))
+        for (a, b), tag in zip(extents, field.tags(slots)):
+            if tag == 0 or (tag == 1 and open_at is None):
+                out.append((3, start + a, start + b))
+            elif tag == 1:
+                out[-1] = (3, out[-1][1], start + b)
+            open_at = start if tag != 2 else None
+    return out
+
+
+@pytest.mark.parametrize("outside", [2.0, 8.0, 14.0])
+def test_every_word_is_scored(outside):
+    draw = random.Random(int(outside))
+    letters = "abeABE.,-é雨 "
+    total = 0
+    for seed in range(40):
+        field = fields(seed % 4)
+        field.emissions[secrets._slot("bias"), 2] += outside
+        gaps = [" ", "  ", "\n", " " * 50]
+        text = "".join("".join(draw.choices(letters, k=draw.randrange(12))) + draw.choice(gaps) for _ in range(30))
+        expected = spans_of_all_words(text, field)
+        assert secrets.tagged_spans(text, field, []) == expected
+        total += len(expected)
+    assert total
+
+
+def test_a_lexicon_is_emptied_and_gives_the_same(monkeypatch):
+    field, texts = fields(1), [prose(i, 200) for i in range(6)]
+    field.emissions[secrets._slot("bias"), 2] += 9
+    expected = [secrets.tagged_spans(t, field, []) for t in texts]
+    monkeypatch.setattr(secrets, "HELD_WORDS", 5)
+    fresh = secrets.Field(field.emissions, field.moves)
+    assert [secrets.tagged_spans(t, fresh, []) for t in texts] == expected and any(expected)
+    assert len(fresh.lexicon.numbers) < 200
+
+
+def test_ordinary_words_are_learnt():
+    """A marked word of few letters, far from any cue, is found once the field knows it."""
+    text = f"{prose(4, 40)} wqzkxj {prose(5, 40)}"
+    words = [one for i in range(60) for _, one in secrets.ordinary_words(prose(i, 40), secrets._Contexts())]
+    forms = [chain for one in words for chain in secrets.ordinary_chains(one)]
+    about = secrets.text_features(text, 0)
+    secret = [(secrets.token_features("wqzkxj", (w, v), about)[1], [0]) for w, v in zip(*[prose(9, 200).split()] * 2)]
+    field = secrets.fit_field(forms + secret)
+    assert [text[a:b] for _, a, b in secrets.tagged_spans(text, field, [])] == ["wqzkxj"]
+
+
+def test_many_different_words():
+    text = " ".join("".join(w) for w in itertools.product("abcdefghijklmno", repeat=3))
+    found = list(secrets.ordinary_words(text, secrets._Contexts()))
+    assert len(found) == 15**3 and len({place for place, _ in found}) == 15**3
+    field = fields(2)
+    field.emissions[secrets._slot("bias"), 2] += 9
+    assert secrets.tagged_spans(text, field, []) == spans_of_all_words(text, field)
