@@ -662,23 +662,36 @@ def _code_chances(counts: DataFrame, top) -> DataFrame:
     return _by_subtree(counts).mapInArrow(run, "code long, log10 float")
 
 
+def _squeezed(values: np.ndarray) -> bytes:
+    """Compressed, the first bytes of all values before the second ones: sorted numbers share their high bytes."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T)
+    return planes.nbytes.to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unsqueezed(held: bytes, kind: type) -> np.ndarray:
+    size = int.from_bytes(held[:8], "little")
+    width = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(held[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.frombuffer(planes.reshape(width, size // width).T.tobytes(), kind)
+
+
 def _packed(chances: DataFrame) -> DataFrame:
-    """chunk, codes, logs: the rows of a chunk in a few long byte strings."""
+    """chunk, codes, logs: the rows of a chunk, sorted by code, in a few long compressed byte strings."""
 
     def run(batches):
         parts, waiting = [], 0
 
         def packed():
             chunk, code, log10 = (np.concatenate([p[i] for p in parts]) for i in range(3))
-            order = np.argsort(chunk, kind="stable")
+            order = np.lexsort((code, chunk))
             chunk, code, log10 = chunk[order], code[order], log10[order]
             cuts = np.append(_heads(chunk), len(chunk))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(chunk[a : a + 1]),
-                        pa.array([code[a:b].tobytes()], pa.binary()),
-                        pa.array([log10[a:b].tobytes()], pa.binary()),
+                        pa.array([_squeezed(code[a:b])], pa.binary()),
+                        pa.array([_squeezed(log10[a:b])], pa.binary()),
                     ],
                     names=["chunk", "codes", "logs"],
                 )
@@ -731,9 +744,7 @@ def _scored(texts: DataFrame, packed: DataFrame, common) -> DataFrame:
                 if batch.column("chunk")[0].as_py() != chunk:
                     chunk, parts = batch.column("chunk")[0].as_py(), []
                 for code, log10 in zip(batch.column("codes"), batch.column("logs")):
-                    parts.append(
-                        (np.frombuffer(code.as_py(), np.int64), np.frombuffer(log10.as_py(), np.float32))
-                    )
+                    parts.append((_unsqueezed(code.as_py(), np.int64), _unsqueezed(log10.as_py(), np.float32)))
                 known_codes = None
                 continue
             if known_codes is None:
@@ -815,7 +826,7 @@ def score_documents(docs: DataFrame, hold_out: tuple[int, int] = HOLD_OUT) -> Da
     marked = docs.select(
         "doc_id", (remainder("doc_id", hold_out[0]) == hold_out[1]).alias("held_out"), "text"
     )
-    texts = steps.keep(_chunked(marked), "lm_texts")
+    texts = steps.keep(_chunked(marked), "lm_texts", compression="zstd")
     training = texts.filter(~F.col("held_out"))
     vocabulary = steps.keep(word_counts(training), "lm_words")
     total, different = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
@@ -826,18 +837,18 @@ def score_documents(docs: DataFrame, hold_out: tuple[int, int] = HOLD_OUT) -> Da
     order = np.argsort(hashes)
     logs = np.log10(often.column("n").to_numpy()[order] + 1.0) + none
     common = spark.sparkContext.broadcast((hashes[order], logs))
-    pairs = steps.keep(_chunk_codes(texts), "lm_chunk_codes")
-    counts = steps.keep(pairs.groupBy("code").agg(F.sum("n").alias("n")), "lm_counts")
+    pairs = steps.keep(_chunk_codes(texts), "lm_chunk_codes", compression="zstd")
+    counts = steps.keep(pairs.groupBy("code").agg(F.sum("n").alias("n")), "lm_counts", compression="zstd")
     steps.clean()
     seen_codes = counts.filter("n > 0")
     pair = F.shiftleft(F.shiftright("code", 8 * (DEPTH - 1)), 8).bitwiseOR(F.col("code").bitwiseAND(255))
     shallow = seen_codes.groupBy(pair.alias("code")).agg(F.sum("n").alias("n")).toArrow()  # below 2**24 rows
     top = spark.sparkContext.broadcast(top_of(shallow, _sums_below(seen_codes).toArrow()))
-    code_chances = steps.keep(_code_chances(counts, top), "lm_chances")
+    code_chances = steps.keep(_code_chances(counts, top), "lm_chances", compression="zstd")
     steps.drop("lm_counts")
     packed = steps.keep(_packed(pairs.join(code_chances.hint("merge"), "code")), "lm_packed")
     steps.drop("lm_chunk_codes", "lm_chances")
-    scored = steps.keep(_scored(texts, packed, common), "lm_scored")
+    scored = steps.keep(_scored(texts, packed, common), "lm_scored", compression="zstd")
     steps.drop("lm_texts", "lm_packed")
     seen = (
         scored.select("row", F.explode("rare").alias("word"))

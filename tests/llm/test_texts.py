@@ -406,3 +406,17 @@ def test_blocks_named_by_several_words_go(name):
 def test_names_that_speak_of_something_else_stay(name):
     html = f'<article><p>kept</p><div class="{name}"><p>kept too</p></div></article>'
     assert page_text.main_text(html, set()) == "kept\nkept too"
+
+
+def test_context_tree_codes_are_kept_small():
+    import numpy as np
+
+    draw = np.random.default_rng(5)
+    codes = np.unique(context_trees.codes_of(draw.integers(97, 123, 200_000).astype(np.uint8)))
+    logs = np.log10(1 / draw.integers(1, 30, len(codes))).astype(np.float32)
+    held = context_trees._squeezed(codes)
+    assert len(held) < 5 * len(codes)
+    assert (context_trees._unsqueezed(held, np.int64) == codes).all()
+    assert (context_trees._unsqueezed(context_trees._squeezed(logs), np.float32) == logs).all()
+    nothing_held = context_trees._unsqueezed(context_trees._squeezed(codes[:0]), np.int64)
+    assert len(nothing_held) == 0
