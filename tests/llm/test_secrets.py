@@ -192,3 +192,62 @@ def test_many_different_words():
     field = fields(2)
     field.emissions[secrets._slot("bias"), 2] += 9
     assert secrets.tagged_spans(text, field, []) == spans_of_all_words(text, field)
+
+
+STRANGE = "abzAZ09.,-_=é雨Éßſ²İΣªǅ—\u0301"
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet=STRANGE, min_size=1, max_size=90), min_size=1, max_size=30))
+def test_words_learnt_together_gain_what_their_features_say(words):
+    lexicon = fields(1).lexicon
+    most, groups = lexicon._own(words)
+    shapes, beside = lexicon._beside(words)
+    names, left = list(lexicon.groups), list(lexicon.shapes)
+    for at, word in enumerate(words):
+        tokens = [m.group() for m in secrets._TOKEN.finditer(word)]
+        own = [lexicon.gain[slots].sum(axis=0) for slots in secrets.token_features(word, None, [])[1]]
+        assert most[at] == pytest.approx(np.max(own, axis=0))
+        assert {secrets._shape_name(shape) for shape in names[groups[at]]} == set(map(secrets._shape, tokens))
+        assert left[shapes[at]] == secrets._shape(secrets._as_left(word))
+        slots = [secrets._slot(f"left={secrets._as_left(word)}"), secrets._slot(f"right={secrets._as_right(word)}")]
+        assert beside[at].tolist() == lexicon.gain[slots].ravel().tolist()
+
+
+def test_words_of_many_texts_are_learnt_at_once(monkeypatch):
+    """Words by the hundred thousand, most of them new, are not looked at one by one."""
+    calls, own = [], secrets.Lexicon._own
+    monkeypatch.setattr(secrets.Lexicon, "_own", lambda self, words: calls.append(len(words)) or own(self, words))
+    texts = [" ".join(f"w{chr(97 + i)}{'abcde'[k % 5]}x{chr(97 + k // 5)}" for k in range(100)) for i in range(20)]
+    field = fields(1)
+    together = secrets.all_spans(texts, field)
+    assert calls == [2_002]
+    assert together == [secrets.all_spans([text], field)[0] for text in texts]
+
+
+def plain_candidate_words(text):
+    found = {}
+    for match in secrets._WORD.finditer(text):
+        if secrets._UNUSUAL.search(match.group()):
+            found[match.start()] = (match.end(), 0)
+    for cue in secrets._CUE.finditer(text):
+        space = secrets._SPACE.search(text, cue.end())
+        after = list(itertools.islice(secrets._WORD.finditer(text, space.end()), secrets.CUE_WORDS)) if space else []
+        for distance, word in enumerate(after, 1):
+            if word.start() - cue.end() > secrets.CUE_REACH:
+                break
+            before = found.get(word.start(), (0, 0))[1]
+            found[word.start()] = (word.end(), min(before or distance, distance))
+    return [(start, *found[start]) for start in sorted(found)]
+
+
+PIECES = ["password", "Api Key", "api_key", "TOKEN", "token", "tokens", "secret", "login", "access-key", "\u212aey", "İ", "ſecret",
+          " ", "\n", "\u2003", "a", "aB", "Ab", "a=b", "=", "x1", "é", "z" * 19, "!" * 20, "雨" * 20, "."]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PIECES), max_size=25))
+def test_suspect_words_are_those_of_a_plain_search(pieces):
+    text = "".join(pieces)
+    assert secrets.candidate_words(text) == plain_candidate_words(text)
+    assert secrets.word_starts(text).tolist() == [m.start() for m in secrets._WORD.finditer(text)]
