@@ -29,30 +29,30 @@ from kerbside.storage import written
 SEED = 17
 _SIDE = RADIUS / 2**0.5 - 1e-6
 _REACH = 2  # squares, in each direction
-_STEPS = range(-_REACH, _REACH + 1)
-
-
-def _around(with_own: bool) -> Column:
-    """The offsets of the squares that the radius reaches."""
-    return F.array(
-        *[
-            F.struct(F.lit(x).cast("bigint").alias("x"), F.lit(y).cast("bigint").alias("y"))
-            for x in _STEPS
-            for y in _STEPS
-            if with_own or x or y
-        ]
-    )
+_BLOCK = 32  # squares, in each direction
+_CELL = 2 * RADIUS + 1  # pixels: the circle around a centre meets at most two by two cells
+_PLACE = ["id", "longitude", "latitude"]
 
 
-def _near(squares: DataFrame, with_own: bool) -> DataFrame:
-    """Rows once for each square they reach, named near_x and near_y."""
-    step = F.col("_step")
-    return (
-        squares.withColumn("_step", F.explode(_around(with_own)))
-        .withColumn("near_x", F.col("square_x") + step["x"])
-        .withColumn("near_y", F.col("square_y") + step["y"])
-        .drop("_step")
-    )
+def _placed(points: DataFrame, zoom: int, seed: int) -> DataFrame:
+    """Adds mark, x and y, which are made anew wherever they are needed: only id and place are kept in tables."""
+    x, y = pixel(F.col("longitude"), F.col("latitude"), F.lit(zoom))
+    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
+    return points.select("*", F.unhex(mark).alias("mark"), x.alias("x"), y.alias("y"))
+
+
+def _floor(value: Column, width: float) -> Column:
+    return F.floor(value / width)
+
+
+def _touched(x: Column, y: Column, reach: float, width: float) -> Column:
+    """The fields of a grid that a box around a place meets; none is narrower than the box."""
+    corners = [
+        F.struct(_floor(x + dx, width).alias("x"), _floor(y + dy, width).alias("y"))
+        for dx in (-reach, reach)
+        for dy in (-reach, reach)
+    ]
+    return F.array_distinct(F.array(*corners))
 
 
 def _within_radius(a: str, b: str) -> Column:
@@ -60,67 +60,83 @@ def _within_radius(a: str, b: str) -> Column:
     return across * across + down * down <= float(RADIUS * RADIUS)
 
 
-def _same_square(points: str, centres: str) -> Column:
-    return (F.col(f"{points}.square_x") == F.col(f"{centres}.near_x")) & (
-        F.col(f"{points}.square_y") == F.col(f"{centres}.near_y")
-    )
+def _in_cells(points: DataFrame) -> DataFrame:
+    """Points with the cell they are in."""
+    return points.withColumn("cell_x", _floor(F.col("x"), _CELL)).withColumn("cell_y", _floor(F.col("y"), _CELL))
 
 
-_MARK = ["mark", "id", "x", "y"]
+def _over_cells(centres: DataFrame) -> DataFrame:
+    """Centres once for each cell their circle may meet."""
+    cells = F.explode(_touched(F.col("x"), F.col("y"), RADIUS + 1e-3, _CELL))
+    return (
+        centres.withColumn("_cell", cells)
+        .withColumn("cell_x", F.col("_cell.x"))
+        .withColumn("cell_y", F.col("_cell.y"))
+        .drop("_cell")
+    )
 
 
-def _next_centres(undecided: DataFrame) -> DataFrame:
-    """The firsts of their squares that come before the firsts of all squares they reach."""
-    firsts = undecided.groupBy("square_x", "square_y").agg(F.min(F.struct(*_MARK)).alias("first"))
-    rivals = (
-        _near(firsts, with_own=False)
-        .groupBy(F.col("near_x").alias("square_x"), F.col("near_y").alias("square_y"))
-        .agg(F.min("first").alias("rival"))
+def _near(points: str, centres: str) -> Column:
+    same_cell = (F.col(f"{points}.cell_x") == F.col(f"{centres}.cell_x")) & (
+        F.col(f"{points}.cell_y") == F.col(f"{centres}.cell_y")
     )
-    wins = F.col("rival").isNull() | (F.col("first") < F.col("rival"))
+    return same_cell & _within_radius(points, centres)
+
+
+def _least_along(rows: DataFrame, axis: str, other: str) -> DataFrame:
+    """The least of a block's squares up to the reach before and behind each, along one axis; ``own`` stays."""
+    step = F.explode(F.array(*[F.lit(s).cast("bigint") for s in range(-_REACH, _REACH + 1)]))
     return (
-        firsts.join(rivals, ["square_x", "square_y"], "left").where(wins).select("square_x", "square_y", "first.*")
+        rows.withColumn("_step", step)
+        .groupBy("block_x", "block_y", (F.col(axis) + F.col("_step")).alias(axis), other)
+        .agg(F.min("least").alias("least"), F.min(F.when(F.col("_step") == 0, F.col("own"))).alias("own"))
     )
 
 
-def centres_of(points: DataFrame) -> DataFrame:
-    """The centres among points (id, mark, x, y, square_x, square_y)."""
-    undecided, found = points, []
+def _next_centres(undecided: DataFrame) -> DataFrame:
+    """The firsts of their squares that come before the firsts of all squares they reach.
+
+    Squares are dealt once to blocks, those at an edge to the blocks beside it too, so that the firsts around
+    each are compared where they are and no square is shuffled once for each that it reaches.
+    """
+    firsts = undecided.groupBy(
+        _floor(F.col("x"), _SIDE).alias("square_x"), _floor(F.col("y"), _SIDE).alias("square_y")
+    ).agg(F.min(F.struct("mark", "id", "x", "y", "longitude", "latitude")).alias("own"))
+    x, y = F.col("square_x"), F.col("square_y")
+    dealt = (
+        firsts.withColumn("_block", F.explode(_touched(x, y, _REACH, _BLOCK)))
+        .select("square_x", "square_y", "own", F.col("_block.x").alias("block_x"), F.col("_block.y").alias("block_y"))
+        .repartition("block_x", "block_y")
+        .withColumn("least", F.col("own"))
+    )
+    least = _least_along(_least_along(dealt, "square_x", "square_y"), "square_y", "square_x")
+    at_home = (_floor(x, _BLOCK) == F.col("block_x")) & (_floor(y, _BLOCK) == F.col("block_y"))
+    return least.where(at_home & (F.col("own") == F.col("least"))).select(*[F.col("own")[c].alias(c) for c in _PLACE])
+
+
+def centres_of(points: DataFrame, zoom: int, seed: int) -> DataFrame:
+    """The centres among points (id, longitude, latitude)."""
+    undecided, found = points.select(*_PLACE), []
     while not undecided.isEmpty():
-        centres = written(_next_centres(undecided), "centres")
+        placed = _placed(undecided, zoom, seed)
+        centres = written(_next_centres(placed), "centres")
         found.append(centres)
-        captured = _near(centres, with_own=True)
-        undecided = written(
-            undecided.alias("p").join(
-                captured.alias("c"), _same_square("p", "c") & _within_radius("p", "c"), "left_anti"
-            ),
-            "undecided",
-        )
-    whole = points.sparkSession.createDataFrame([], points.select("square_x", "square_y", *_MARK).schema)
+        captured = _over_cells(_placed(centres, zoom, seed))
+        left = _in_cells(placed).alias("p").join(captured.alias("c"), _near("p", "c"), "left_anti")
+        undecided = written(left.select(*_PLACE), "undecided")
+    whole = points.sparkSession.createDataFrame([], points.select(*_PLACE).schema)
     for centres in found:
         whole = whole.unionByName(centres)
     return whole
 
 
 def _level(points: DataFrame, zoom: int, seed: int) -> DataFrame:
-    """id, longitude, latitude, n_points of the centres of one zoom level."""
-    x, y = pixel(F.col("longitude"), F.col("latitude"), F.lit(zoom))
-    placed = points.select(
-        "id",
-        F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"))).alias("mark"),
-        x.alias("x"),
-        y.alias("y"),
-        F.floor(x / _SIDE).alias("square_x"),
-        F.floor(y / _SIDE).alias("square_y"),
-        "n_points",
-        "longitude",
-        "latitude",
-    )
-    placed = written(placed, "placed")
-    centres = written(centres_of(placed.drop("n_points", "longitude", "latitude")), "centres")
+    """id, longitude, latitude, n_points, n_members of the centres of one zoom level."""
+    centres = written(centres_of(points, zoom, seed), "centres")
     joined = (
-        placed.alias("p")
-        .join(_near(centres, with_own=True).alias("c"), _same_square("p", "c") & _within_radius("p", "c"))
+        _in_cells(_placed(points, zoom, seed))
+        .alias("p")
+        .join(_over_cells(_placed(centres, zoom, seed)).alias("c"), _near("p", "c"))
         .groupBy(F.col("p.id").alias("point"))
         .agg(
             F.min(F.struct("c.mark", "c.id")).alias("centre"),
@@ -129,8 +145,10 @@ def _level(points: DataFrame, zoom: int, seed: int) -> DataFrame:
         .groupBy(F.col("centre.id").alias("id"))
         .agg(F.sum("n_points").alias("n_points"), F.count(F.lit(1)).alias("n_members"))
     )
-    places = placed.select("id", "longitude", "latitude")
-    return written(joined.join(places, "id").select("id", "longitude", "latitude", "n_points", "n_members"), "level")
+    # a row per centre, written so that the planner sees how few they are beside the points
+    joined = written(joined, "joined")
+    places = points.select(*_PLACE)
+    return written(joined.join(places, "id").select(*_PLACE, "n_points", "n_members"), "level")
 
 
 def radius_clusters(
