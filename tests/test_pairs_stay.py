@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from kerbside.operators import tiles
 from kerbside.operators.time_index import TimeIndex
 from kerbside.plans import build as B
 from kerbside import schemas
@@ -78,3 +79,12 @@ def test_texts_stay_out_of_the_status_join(spark, tmp_path):
     plan = status.place_statuses(moments, spots)._jdf.queryExecution().optimizedPlan().toString()
     joined = plan[plan.index("Join"):]
     assert "transform(periods" in joined
+
+
+def test_points_are_not_broadcast(spark, monkeypatch):
+    """However small their files: here the boxes are too many to broadcast and the spots a few KB."""
+    monkeypatch.setattr(tiles, "BROADCAST_ROWS", 0)
+    asked = query_rows(spark, [SpotQuery(BOX, hour=(10, 11), day=(1, 1))])
+    found = SP.query_spots_batch(asked, fixtures.curated(spark).spots)
+    assert "SortMergeJoin" in _first_join(found) and "Broadcast" not in _physical(found)
+    assert found.count() > 0
