@@ -31,6 +31,13 @@ def test_index_words_are_not_broadcast(spark):
     assert plan.count("BroadcastHashJoin") == 1 and plan.count("SortMergeJoin") == 3
 
 
+def test_asked_pairs_are_not_broadcast_with_all_words(spark):
+    """Only the signatures are broadcast; a pair that meets every word of the dictionary is not."""
+    for mode in ("any", "all"):
+        plan = _physical(TimeIndex(codes(spark)).words_in(signatures(spark), mode))
+        assert plan.count("BroadcastHashJoin") == 1 and plan.count("explode(") == 3
+
+
 def test_sign_pairs_meet_last(spark):
     tables = fixtures.curated(spark)
     asked = query_rows(spark, [SignQuery(BOX, hour=(10, 11), day=(1, 4))])
